@@ -45,7 +45,7 @@ from .shared import NULL_ID, connected_components, from_node_id, node_id, shuffl
 BUCKETS_LOG2, MANTISSA = 7, 10
 REGISTERS = 1 << BUCKETS_LOG2
 BANDS, BAND_ROWS = 25, 5
-BLOCK = 512
+BLOCK = 2048
 BEST = 4
 PAIR_GROUP = 256
 REMEMBERED = 400_000
