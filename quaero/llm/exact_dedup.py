@@ -16,7 +16,6 @@ every other; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,7 +109,7 @@ def build_index(signatures: DataFrame, width: int, ranges: int, memtable_rows: i
         if held:
             yield run()
 
-    def compact(_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compact(pdf: pd.DataFrame) -> pd.DataFrame:
         runs = [(_key_matrix([k], width), np.frombuffer(c, np.int64), np.frombuffer(i, np.int64), np.frombuffer(n, np.int64)) for k, c, i, n in zip(pdf["keys"], pdf["chars"], pdf["ids"], pdf["counts"], strict=True)]
         if all(pdf["bloom"].str.len()):
             once = np.zeros(run_bits // 8, np.uint8)

@@ -274,7 +274,7 @@ WITH p AS (
 s AS (
   SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS same, sha1(h) AS hex FROM p)
 SELECT page_id, payload_bytes,
-       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          CAST(((CAST('0x' || substr(hex, CAST((i // 4) * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
        CASE WHEN row_number() OVER g = 1 THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN row_number() OVER g > 1 THEN first_value(page_id) OVER g END AS refers_to
