@@ -90,7 +90,7 @@ def vote(rule: tuple[str, str]) -> Column:
     return F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0)
 
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> dict:
+def estimate(patterns: dict[tuple[int, ...], int], rules: int | None = None, rounds: int = 60) -> dict:
     """EM over the counts of vote patterns.
 
     Each rule has two rates: bad votes among good and among bad texts that it
@@ -98,7 +98,7 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> dict:
     voting mostly right; rates keep bad_on_good below bad_on_bad, so the two
     classes cannot change places.
     """
-    m = len(next(iter(patterns), ()))
+    m = len(next(iter(patterns), ())) or rules or 0
     total = sum(patterns.values())
     good, on_good, on_bad = 0.85, [0.004] * m, [0.35] * m
     for _ in range(rounds if total else 0):
@@ -136,7 +136,7 @@ def quality_rules(docs: DataFrame, rules: dict[str, tuple[str, str]] = RULES, th
     names = [f"vote_{k}" for k in rules]
     voted = table.withColumns({n: vote(r) for n, r in zip(names, rules.values(), strict=True)})
     patterns = {tuple(r[:-1]): r[-1] for r in voted.groupBy(*names).agg(F.count(F.lit(1))).collect()}  # 3 ** rules rows at most
-    fit = estimate(patterns)
+    fit = estimate(patterns, len(names))
     z = F.lit(math.log(fit["good"] / (1 - fit["good"])))
     for n, g, b in zip(names, fit["bad_on_good"], fit["bad_on_bad"], strict=True):
         z = z + F.when(F.col(n) < 0, math.log(g / b)).when(F.col(n) > 0, math.log((1 - g) / (1 - b))).otherwise(0.0)
