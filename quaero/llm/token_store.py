@@ -35,8 +35,10 @@ from .files import RangeReader, open_fs, whole_file
 from .shared import NULL_ID, new_path, node_id, shuffle_partitions, written
 
 BUCKET_KEYS = 50_000
-REMEMBERED = 400_000
-PIECE_CHARS = 1 << 16
+REMEMBERED = 300_000
+GROUP_BYTES = 1 << 19
+#: A word that ends in a letter and these is the letter's pre-token and then theirs.
+CLOSING = b".,;:!?|)"
 MAGIC = b"QMPH0001"
 
 # ---------------------------------------------------------------- encoding
@@ -63,26 +65,57 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # the generation before; what is used again moves on
 
     def pack(self, ids) -> bytes:
         return np.asarray(ids, dtype=self.dtype).tobytes()
 
+    def learn(self, words: set[bytes]) -> None:
+        """Puts words into the memo. Capitals of ASCII words and closing signs are split off first, so
+        that the library sees each stem once; a special token's text is left as it is."""
+        memo, older = self.memo, self.older
+        split: list[tuple[bytes, bytes, bytes]] = []
+        ask: set[bytes] = set()
+        for w in words:
+            known = older.get(w)
+            if known is not None:
+                memo[w] = known
+                continue
+            low = w.lower() if w.isascii() and b"<|" not in w else w
+            stem = low.rstrip(CLOSING)
+            if not stem or not stem[-1:].isalpha():
+                stem = low
+            split.append((w, stem, low[len(stem) :]))
+            ask.add(stem)
+            ask.add(low[len(stem) :])
+        ask = {x for x in ask if x not in memo}
+        for x in [x for x in ask if x in older]:
+            memo[x] = older[x]
+            ask.discard(x)
+        new = list(ask)
+        for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
+            memo[x] = self.pack(e.ids)
+        for w, stem, tail in split:
+            memo[w] = memo[stem] + memo[tail]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The packed ids of each text (UTF-8)."""
-        memo = self.memo
         out = []
-        for text in texts:
-            words = text.split()
-            new = list({w for w in words if w not in memo})
+        group: list[list[bytes]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            group.append(text.split())
+            size += len(text)
+            if size < GROUP_BYTES and i + 1 < len(texts):
+                continue
+            if len(self.memo) > REMEMBERED:
+                self.older, self.memo = self.memo, {}
+            memo = self.memo
+            new = {w for words in group for w in words if w not in memo}
             if new:
-                if len(memo) + len(new) > REMEMBERED:
-                    memo.clear()
-                    new = list(set(words))
-                for i in range(0, len(new), 4096):
-                    some = new[i : i + 4096]
-                    for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                        memo[w] = self.pack(e.ids)
-            out.append(b"".join(map(memo.__getitem__, words)))
+                self.learn(new)
+            out += [b"".join(map(memo.__getitem__, words)) for words in group]
+            group, size = [], 0
         return out
 
 
@@ -209,6 +242,19 @@ class Bucket:
 # ---------------------------------------------------------------- the store
 
 
+def encoded(enc: WordEncoder, texts) -> Iterator[bytes]:
+    """Packed ids of each text, a bounded number of texts at a time."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append(text.encode())
+        size += len(held[-1])
+        if size >= GROUP_BYTES:
+            yield from enc.encode(held)
+            held, size = [], 0
+    yield from enc.encode(held)
+
+
 def _int_ids(ids: pd.Series) -> list:
     return ids.to_numpy(np.int64)
 
@@ -226,8 +272,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, pa
         with whole_file(f"{path}/shard-{shard:06d}.ids") as f:
             for pdf in batches:
                 rows = []
-                for key, text in zip(_int_ids(pdf["id"]), pdf["text"], strict=True):
-                    raw = enc.encode([text.encode()])[0] + end
+                for key, raw in zip(_int_ids(pdf["id"]), encoded(enc, pdf["text"]), strict=True):
+                    raw += end
                     f.write(raw)
                     nth = nth + 1 if key == before else 0
                     before = key
