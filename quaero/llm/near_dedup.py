@@ -17,10 +17,12 @@ are turned away. What is left is confirmed on the full sets, computed from the
 texts. Equal sets are one node from the start, so copies make no pairs.
 
 Buckets need no cap: first everyone in a bucket meets only its smallest
-member. Members that this leaves in different components are compared by
-register estimate in blocks of bounded size, inside a task, and only pairs that
-pass go on (first each one's best few; then, once those have joined
-components, all that are still apart). Nothing is sampled or cut off.
+member. Members that this leaves in different components meet in blocks of
+bounded size, inside a task: first each one's best few by register estimate go
+on as pairs; then, once those have joined components, members with a partner
+left by estimate are compared on their full sets, every such pair, and a task
+puts out the links that join what it found apart. Nothing is sampled or cut off,
+and no table of pairs grows with the square of a bucket.
 
 Defined results: a document without words has an empty set and is linked with
 nothing, not even other empty ones; null text counts as empty; rows repeated
@@ -37,7 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import NULL_ID, connected_components, from_node_id, node_id, shuffle_partitions, small_side, written
@@ -46,6 +48,7 @@ BUCKETS_LOG2, MANTISSA = 7, 10
 REGISTERS = 1 << BUCKETS_LOG2
 BANDS, BAND_ROWS = 25, 5
 BLOCK = 2048
+BLOCK_SHINGLES = 1 << 20
 BEST = 4
 PAIR_GROUP = 256
 REMEMBERED = 400_000
@@ -251,21 +254,22 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return found
 
 
-def _blocks(apart: DataFrame, nodes: DataFrame, t: float, best: int | None) -> DataFrame:
-    """apart(key, id, component): pairs of one bucket in different components that pass the estimate.
+def _tasks(apart: DataFrame, members: DataFrame, weight: Column) -> DataFrame:
+    """apart(key, id, component), members(id, ...) -> rows of tasks, in which blocks of a bucket meet.
 
-    A bucket's members, sorted by component, are cut into blocks; two blocks
-    meet unless both hold one and the same component.
+    A bucket's members are cut by component into blocks of weight 1 or so; two
+    blocks meet unless both hold one and the same component. side is 1 for the
+    second of two different blocks.
     """
     spark = apart.sparkSession
-    size = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    apart = apart.join(members.select("id", weight.alias("weight")), "id")
+    size = apart.groupBy("key").agg(F.ceil(F.sum("weight")).alias("blocks"))
     # Blocks by hash within a bucket: no bucket's members need to be numbered in one task.
     cut = apart.join(size, "key").withColumn("blk", F.pmod(F.xxhash64("component"), F.col("blocks")))
-    cut = cut.withColumn("sub", F.lit(0))
-    per = cut.groupBy("key", "blk").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+    per = cut.groupBy("key", "blk").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("weight").alias("n"))
     # A component that fills a block many times over is cut again, by id.
-    per = per.withColumn("subs", F.ceil(F.col("n") / (2 * BLOCK)))
-    cut = cut.drop("sub").join(per.select("key", "blk", "subs"), ["key", "blk"]).withColumn("sub", F.pmod(F.xxhash64("id", F.lit(7)), F.col("subs")))
+    per = per.withColumn("subs", F.ceil(F.col("n") / 2))
+    cut = cut.join(per.select("key", "blk", "subs"), ["key", "blk"]).withColumn("sub", F.pmod(F.xxhash64("id", F.lit(7)), F.col("subs")))
     units = per.select("key", "blk", "lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"))
     l, r = units.alias("l"), units.alias("r")
     order = F.struct("l.blk", "l.sub") <= F.struct("r.blk", "r.sub")
@@ -274,48 +278,133 @@ def _blocks(apart: DataFrame, nodes: DataFrame, t: float, best: int | None) -> D
         F.col("l.key").alias("key"), F.struct("l.blk", "l.sub").alias("x"), F.struct("r.blk", "r.sub").alias("y")
     )
     meet = written(meet.withColumn("task", F.xxhash64("key", "x", "y")), "meetings")
-    member = cut.join(nodes.select("id", "regs", "n_shingles"), "id").select("key", F.struct("blk", "sub").alias("u"), "id", "component", "regs", "n_shingles")
+    member = cut.select("key", F.struct("blk", "sub").alias("u"), "id", "component").join(members, "id")
     sent = meet.select("key", "task", F.col("x").alias("u"), F.lit(0).alias("side")).unionByName(
         meet.filter("x <> y").select("key", "task", F.col("y").alias("u"), F.lit(1).alias("side"))
     ).join(member, ["key", "u"])
+    return sent.drop("u").repartition(shuffle_partitions(spark), "task").sortWithinPartitions("task")
 
-    def compare(rows: list[tuple]) -> list[tuple]:
-        side, ids, comp, n = (np.array([r[i] for r in rows]) for i in range(4))
-        regs = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, REGISTERS)
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        own = not len(right)
-        right = left if own else right
+
+class _Task:
+    """A task's rows as arrays. The right side is the left one where a block meets itself."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.pdf, self.ids, self.comp, self.n = pdf, *(pdf[c].to_numpy(np.int64) for c in ("id", "component", "n_shingles"))
+        self.regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(-1, REGISTERS)
+        side = pdf["side"].to_numpy()
+        self.left, self.right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        self.own = not len(self.right)
+        if self.own:
+            self.right = self.left
+
+    def candidates(self, i: int, among: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the rows among may be linked with row i, and their estimates."""
+        ni, n = self.n[i], self.n[among]
+        among = among[np.minimum(ni, n) >= t * np.maximum(ni, n) - 1e-9]
+        est, used = estimate(self.regs[i], self.regs[among], ni, self.n[among])
+        ok = may_link(est, used, t)
+        return among[ok], est[ok]
+
+
+def _by_task(sent: DataFrame, compare, schema: str) -> DataFrame:
+    """Runs compare(_Task) -> rows of schema on every task of sent."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_: list[pd.DataFrame] = []
+        for pdf in batches:
+            out: list[tuple] = []
+            for task, rows in pdf.groupby("task", sort=False):
+                if open_ and open_[0]["task"].iat[0] != task:
+                    out += compare(_Task(pd.concat(open_)))
+                    open_ = []
+                open_.append(rows)
+            yield pd.DataFrame(out, columns=names, dtype="int64")
+        if open_:
+            yield pd.DataFrame(compare(_Task(pd.concat(open_))), columns=names, dtype="int64")
+
+    return sent.mapInPandas(run, schema)
+
+
+def _best_pairs(apart: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
+    """apart(key, id, component) -> (a, b): each member's BEST partners of other components, by estimate, in each meeting of blocks."""
+
+    def compare(task: _Task) -> list[tuple]:
         out = []
-        for i in left:
-            est, used = estimate(regs[i], regs[right], n[i], n[right])
-            ok = may_link(est, used, t) & (comp[right] != comp[i]) & (np.minimum(n[i], n[right]) >= t * np.maximum(n[i], n[right]) - 1e-9)
-            if own:
-                ok &= right != i if best else right > i
-            at = np.flatnonzero(ok)
-            if best and len(at) > best:
-                at = at[np.argsort(-est[at], kind="stable")[:best]]
-            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in right[at]]
+        for i in task.left:
+            at, est = task.candidates(i, task.right[task.comp[task.right] != task.comp[i]], t)
+            if len(at) > BEST:
+                at = at[np.argsort(-est, kind="stable")[:BEST]]
+            out += [(min(task.ids[i], task.ids[j]), max(task.ids[i], task.ids[j])) for j in at]
         return out
 
+    members = nodes.select("id", "n_shingles", "regs")
+    return _by_task(_tasks(apart, members, F.lit(1 / BLOCK)), compare, "a long, b long").distinct()
+
+
+def _with_partners(apart: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
+    """The rows of apart(key, id, component) that have a partner of another component in their bucket, by estimate."""
+
+    def compare(task: _Task) -> list[tuple]:
+        found = np.zeros(len(task.ids), bool)
+        for i in task.left:
+            among = task.right[task.comp[task.right] != task.comp[i]]
+            at, _ = task.candidates(i, among[among > i] if task.own else among, t)
+            found[at] = True
+            found[i] |= len(at) > 0
+        key = task.pdf["key"].to_numpy()
+        return [(key[i], task.ids[i], task.comp[i]) for i in np.flatnonzero(found)]
+
+    members = nodes.select("id", "n_shingles", "regs")
+    return _by_task(_tasks(apart, members, F.lit(1 / BLOCK)), compare, "key long, id long, component long").distinct()
+
+
+def _links_in_blocks(apart: DataFrame, members: DataFrame, t: float, percent: int) -> DataFrame:
+    """apart(key, id, component), members(id, n_shingles, regs, hashes) -> (a, b): links that join all
+    components with a link between them in a bucket. Every pair that the estimate lets pass is
+    compared on its full sets inside a task; what the task's earlier links already join is not
+    compared again, so a task puts out fewer links than it has rows, however many pairs there are.
+    """
+
+    def compare(task: _Task) -> list[tuple]:
+        sets = [np.frombuffer(h, np.uint64) for h in task.pdf["hashes"]]
+        # Only hashes that two rows have can be in an intersection.
+        names, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), [len(h) for h in sets])
+        use = often[at] > 1
+        at, owner = at[use], owner[use]
+        ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(sets)))]
+        mark = np.zeros(len(names), np.int64)
+        root, out = task.comp.copy(), []
+        for i in task.left:
+            among = task.right[root[task.right] != root[i]]
+            among, _ = task.candidates(i, among[among > i] if task.own else among, t)
+            if not len(among):
+                continue
+            mark[at[ends[i] : ends[i + 1]]] = 1
+            for j in among:
+                if root[j] == root[i]:
+                    continue
+                both = int(mark[at[ends[j] : ends[j + 1]]].sum())
+                if 100 * both >= percent * (task.n[i] + task.n[j] - both):
+                    out.append((min(task.ids[i], task.ids[j]), max(task.ids[i], task.ids[j])))
+                    root[root == root[j]] = root[i]
+            mark[at[ends[i] : ends[i + 1]]] = 0
+        return out
+
+    weight = F.greatest(F.lit(1 / BLOCK), F.col("n_shingles") / BLOCK_SHINGLES)
+    return _by_task(_tasks(apart, members, weight), compare, "a long, b long").distinct()
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """texts(id, text) -> id, hashes: the full set of each."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, rows = None, []
+        sh = shingler(size)
         for pdf in batches:
-            out: list[tuple] = []
-            for t_, *row in zip(pdf["task"], pdf["side"], pdf["id"], pdf["component"], pdf["n_shingles"], pdf["regs"], strict=True):
-                if t_ != task:
-                    out += compare(rows) if rows else []
-                    task, rows = t_, []
-                rows.append(row)
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-        if rows:
-            yield pd.DataFrame(compare(rows), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame({"id": pdf["id"], "hashes": [sh.shingles(x).tobytes() for x in pdf["text"]]})
 
-    return (
-        sent.select("task", "side", "id", "component", "n_shingles", "regs")
-        .repartition(shuffle_partitions(spark), "task").sortWithinPartitions("task")
-        .mapInPandas(run, "a long, b long").distinct()
-    )
+    return texts.mapInPandas(run, "id long, hashes binary")
 
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -338,36 +427,39 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     members = written(keys.join(centres, "key"), "members")
     pairs = written(_passing(members.filter("id <> a").select("a", F.col("id").alias("b")).distinct(), nodes, t), "pairs")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        ids = written(ids, "needed")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        ids = written(ids.distinct(), "needed")
         n = ids.count()
-        texts = rows.join(small_side(ids, n, 16), "id")
-        texts = written(texts.dropDuplicates(["id"]) if _repeats(texts, n) else texts, "texts")
-        return written(_linked(pairs, texts, size, percent), "links")
+        texts = written(rows.join(small_side(ids, n, 16), "id"), "texts")
+        return texts if texts.count() == n else texts.dropDuplicates(["id"])
 
-    def _repeats(texts: DataFrame, n: int) -> bool:
-        return texts.select("id").count() > n
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+        return _linked(pairs, texts_of(ids), size, percent)
 
-    links = confirmed(pairs)
-    done = pairs
     several = members.filter("m > 2 and id <> a").select("key", "id")
-    for best in (BEST, None):
-        label = connected_components(links) if links.limit(1).count() else None
-        if label is None:
-            apart = several.withColumn("component", F.col("id"))
+
+    def still_apart(links: DataFrame) -> DataFrame:
+        """Members of buckets that hold more than one component."""
+        if links.limit(1).count():
+            apart = several.join(connected_components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
         else:
-            apart = several.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            apart = several.withColumn("component", F.col("id"))
         apart = written(apart, "apart")
         open_keys = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        apart = written(apart.join(open_keys, "key", "left_semi"), "apart")
-        if not apart.limit(1).count():
-            break
-        more = written(_blocks(apart, nodes, t, best).join(done, ["a", "b"], "left_anti"), "pairs")
-        if not more.limit(1).count():
-            break
-        done = done.unionByName(more)
+        return written(apart.join(open_keys, "key", "left_semi"), "apart")
+
+    links = written(confirmed(pairs), "links")
+    apart = still_apart(links)
+    more = written(_best_pairs(apart, nodes, t).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if more.limit(1).count():
         links = written(links.unionByName(confirmed(more)), "links")
+        apart = still_apart(links)
+    apart = written(_with_partners(apart, nodes, t), "apart")
+    if apart.limit(1).count():
+        sets = _sets(texts_of(apart.select("id")), size)
+        full = written(nodes.select("id", "n_shingles", "regs").join(sets, "id"), "sets")
+        links = written(links.unionByName(_links_in_blocks(apart, full, t, percent)), "links")
     where = nodes.select("set_id", "id")
     if links.limit(1).count():
         where = where.join(connected_components(links), "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
