@@ -19,9 +19,10 @@ texts. Equal sets are one node from the start, so copies make no pairs.
 Buckets need no cap: first everyone in a bucket meets only its smallest
 member. Members that this leaves in different components meet in blocks of
 bounded size, inside a task: first each one's best few by register estimate go
-on as pairs; then, once those have joined components, members with a partner
-left by estimate are compared on their full sets, every such pair, and a task
-puts out the links that join what it found apart. Nothing is sampled or cut off,
+on as pairs; then, once those have joined components, what the estimate still
+connects across components is a cluster, in which every pair that passes the
+estimate is compared on its full sets, and a task puts out the links that join
+what it found apart. Nothing is sampled or cut off,
 and no table of pairs grows with the square of a bucket.
 
 Defined results: a document without words has an empty set and is linked with
@@ -342,26 +343,37 @@ def _best_pairs(apart: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
     return _by_task(_tasks(apart, members, F.lit(1 / BLOCK)), compare, "a long, b long").distinct()
 
 
-def _with_partners(apart: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
-    """The rows of apart(key, id, component) that have a partner of another component in their bucket, by estimate."""
+def _maybe_linked(apart: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
+    """apart(key, id, component) -> (a, b): a forest over the pairs of a bucket, of different components, that pass the estimate."""
 
     def compare(task: _Task) -> list[tuple]:
-        found = np.zeros(len(task.ids), bool)
+        root, out = np.arange(len(task.ids)), []
         for i in task.left:
-            among = task.right[task.comp[task.right] != task.comp[i]]
-            at, _ = task.candidates(i, among[among > i] if task.own else among, t)
-            found[at] = True
-            found[i] |= len(at) > 0
-        key = task.pdf["key"].to_numpy()
-        return [(key[i], task.ids[i], task.comp[i]) for i in np.flatnonzero(found)]
+            among = task.right[(task.comp[task.right] != task.comp[i]) & (root[task.right] != root[i])]
+            at, _ = task.candidates(i, among, t)
+            for r, j in dict(zip(root[at], at, strict=True)).items():
+                out.append((min(task.ids[i], task.ids[j]), max(task.ids[i], task.ids[j])))
+                root[root == r] = root[i]
+        return out
 
     members = nodes.select("id", "n_shingles", "regs")
-    return _by_task(_tasks(apart, members, F.lit(1 / BLOCK)), compare, "key long, id long, component long").distinct()
+    return _by_task(_tasks(apart, members, F.lit(1 / BLOCK)), compare, "a long, b long").distinct()
+
+
+def _clusters(maybe: DataFrame, nodes: DataFrame, apart: DataFrame, t: float) -> DataFrame:
+    """(key, id, component): each member of a connected part of maybe(a, b), once for each size class in which it can be linked."""
+    cluster = connected_components(maybe).withColumnRenamed("component", "cluster")
+    of = apart.select("id", "component").distinct()
+    rank = lambda n: F.floor(F.log(n) / F.lit(-math.log(t)) + 1e-9)
+    least = F.greatest(F.lit(1), F.ceil(F.col("n_shingles") * F.lit(t) - 1e-9))
+    rows = cluster.join(of, "id").join(nodes.select("id", "n_shingles"), "id")
+    rows = rows.select("id", "component", "cluster", F.explode(F.sequence(rank(least), rank(F.col("n_shingles")))).alias("cls"))
+    return rows.select(F.xxhash64("cluster", "cls").alias("key"), "id", "component")
 
 
 def _links_in_blocks(apart: DataFrame, members: DataFrame, t: float, percent: int) -> DataFrame:
     """apart(key, id, component), members(id, n_shingles, regs, hashes) -> (a, b): links that join all
-    components with a link between them in a bucket. Every pair that the estimate lets pass is
+    components with a link between them under a key. Every pair that the estimate lets pass is
     compared on its full sets inside a task; what the task's earlier links already join is not
     compared again, so a task puts out fewer links than it has rows, however many pairs there are.
     """
@@ -455,8 +467,9 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     if more.limit(1).count():
         links = written(links.unionByName(confirmed(more)), "links")
         apart = still_apart(links)
-    apart = written(_with_partners(apart, nodes, t), "apart")
-    if apart.limit(1).count():
+    maybe = written(_maybe_linked(apart, nodes, t), "maybe")
+    if maybe.limit(1).count():
+        apart = written(_clusters(maybe, nodes, apart, t), "clusters")
         sets = _sets(texts_of(apart.select("id")), size)
         full = written(nodes.select("id", "n_shingles", "regs").join(sets, "id"), "sets")
         links = written(links.unionByName(_links_in_blocks(apart, full, t, percent)), "links")
