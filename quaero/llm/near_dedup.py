@@ -344,17 +344,18 @@ def _best_pairs(apart: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
 
 
 def _maybe_linked(apart: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
-    """apart(key, id, component) -> (a, b): a forest over the pairs of a bucket, of different components, that pass the estimate."""
+    """apart(key, id, component) -> (a, b): a is the smallest id that b is connected with, in a meeting of blocks, by pairs
+    of different components that pass the estimate."""
 
     def compare(task: _Task) -> list[tuple]:
-        root, out = np.arange(len(task.ids)), []
+        root = np.arange(len(task.ids))
         for i in task.left:
             among = task.right[(task.comp[task.right] != task.comp[i]) & (root[task.right] != root[i])]
             at, _ = task.candidates(i, among, t)
-            for r, j in dict(zip(root[at], at, strict=True)).items():
-                out.append((min(task.ids[i], task.ids[j]), max(task.ids[i], task.ids[j])))
+            for r in set(root[at]):
                 root[root == r] = root[i]
-        return out
+        parts = pd.Series(task.ids).groupby(root).transform("min").to_numpy()
+        return [(a, b) for a, b in zip(parts, task.ids, strict=True) if a != b]
 
     members = nodes.select("id", "n_shingles", "regs")
     return _by_task(_tasks(apart, members, F.lit(1 / BLOCK)), compare, "a long, b long").distinct()
@@ -362,7 +363,10 @@ def _maybe_linked(apart: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
 
 def _clusters(maybe: DataFrame, nodes: DataFrame, apart: DataFrame, t: float) -> DataFrame:
     """(key, id, component): each member of a connected part of maybe(a, b), once for each size class in which it can be linked."""
-    cluster = connected_components(maybe).withColumnRenamed("component", "cluster")
+    # Each b keeps its smallest a, which is linked with b's other ones: few, and the same for many.
+    first = maybe.withColumn("m", F.min("a").over(Window.partitionBy("b")))
+    links = first.select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+    cluster = connected_components(links).withColumnRenamed("component", "cluster")
     of = apart.select("id", "component").distinct()
     rank = lambda n: F.floor(F.log(n) / F.lit(-math.log(t)) + 1e-9)
     least = F.greatest(F.lit(1), F.ceil(F.col("n_shingles") * F.lit(t) - 1e-9))
