@@ -94,25 +94,27 @@ def _thresholds(p: np.ndarray) -> np.ndarray:
     return np.cumsum(np.r_[p[:1], np.exp(p[1:])])
 
 
-def fit_cumulative_link(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-3, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood with a ridge on the weights, by Adam on the full sample."""
+def fit_cumulative_link(owner: np.ndarray, column: np.ndarray, width: int, y: np.ndarray, grades: int, l2: float = 1e-3, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood with a ridge on the weights, by Adam on the full sample.
+
+    Row owner[i] has feature column[i], one of width; a row has few of them.
+    """
     share = np.clip(np.cumsum(np.bincount(y, minlength=grades))[:-1] / max(len(y), 1), 1e-3, 1 - 1e-3)
     start = np.maximum.accumulate(np.log(share / (1 - share)) + np.arange(grades - 1) * 1e-3)
     p = np.r_[start[:1], np.log(np.maximum(np.diff(start), 1e-3))]
-    theta = np.r_[p, np.zeros(x.shape[1])]
+    theta = np.r_[p, np.zeros(width)]
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     k = grades - 1
-    xf = x.astype(np.float32)
     for step in range(1, rounds + 1 if len(y) else 1):
         cut, w = _thresholds(theta[:k]), theta[k:]
-        z = xf @ w
+        z = np.bincount(owner, weights=w[column], minlength=len(y))
         edge = 1 / (1 + np.exp(np.clip(z[:, None] - cut[None, :], -30, 30)))  # P(y <= j)
         full = np.c_[np.zeros(len(y)), edge, np.ones(len(y))]
         p_y = np.maximum(full[np.arange(len(y)), y + 1] - full[np.arange(len(y)), y], 1e-9)
         slope = np.c_[np.zeros(len(y)), edge * (1 - edge), np.zeros(len(y))]
         up, low = slope[np.arange(len(y)), y + 1] / p_y, slope[np.arange(len(y)), y] / p_y
         g_cut = np.array([(up * (y == j)).sum() - (low * (y == j + 1)).sum() for j in range(k)]) / len(y)
-        g_w = xf.T @ (low - up) / len(y) - 2 * l2 * w
+        g_w = np.bincount(column, weights=(low - up)[owner], minlength=width) / len(y) - 2 * l2 * w
         rest = np.cumsum(g_cut[::-1])[::-1]
         g = np.r_[rest[:1], rest[1:] * np.exp(theta[1:k]), g_w]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -140,10 +142,8 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int) -> OrdinalModel:
     good = np.sort(good[np.argsort(-z[good], kind="stable")[:MAX_FEATURES]])
     place = np.full(len(columns), -1)
     place[good] = np.arange(len(good))
-    x = np.zeros((n, len(good)), np.float32)
     use = place[at] >= 0
-    x[owner[use], place[at[use]]] = 1
-    weights, thresholds = fit_cumulative_link(x, y, grades)
+    weights, thresholds = fit_cumulative_link(owner[use], place[at[use]], len(good), y, grades)
     return OrdinalModel(columns[good], weights, thresholds)
 
 
@@ -161,7 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, grades: int = 3, sample_rows: int
 
     # few has sample_rows rows at most: a broadcast of bounded size.
     joined = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    rows = sorted({r["doc_id"]: (r["grade"], r["f"]) for r in joined.mapInPandas(run, "doc_id long, grade int, f binary").toLocalIterator()}.items())
+    # One job over all partitions at once; toLocalIterator would run them one after another.
+    sample = joined.mapInPandas(run, "doc_id long, grade int, f binary").collect()
+    rows = sorted({r["doc_id"]: (r["grade"], r["f"]) for r in sample}.items())
     return fit([(g, np.frombuffer(f, np.uint32)) for _, (g, f) in rows], grades)
 
 
