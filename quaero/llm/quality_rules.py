@@ -96,7 +96,9 @@ def estimate(patterns: dict[tuple[int, ...], int], rules: int | None = None, rou
     Each rule has two rates: bad votes among good and among bad texts that it
     votes on. Beta priors, in shares of the votes cast, hold each rule to
     voting mostly right; rates keep bad_on_good below bad_on_bad, so the two
-    classes cannot change places.
+    classes cannot change places. The bounds of the rates do most of the work:
+    on the test tables every bad_on_good ends at one, and a single bad vote
+    decides (README, op4, says why they stay).
     """
     m = len(next(iter(patterns), ())) or rules or 0
     total = sum(patterns.values())
