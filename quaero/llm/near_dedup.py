@@ -25,11 +25,15 @@ estimate is compared on its full sets, and a task puts out the links that join
 what it found apart. Nothing is sampled or cut off,
 and no table of pairs grows with the square of a bucket.
 
+Nodes are the distinct sets, whatever doc_ids their rows have: a doc_id that is
+null or repeated joins nothing. It only orders the rows of a component, of which
+the first stays.
+
 Defined results: a document without words has an empty set and is linked with
-nothing, not even other empty ones; null text counts as empty; rows repeated
-with their doc_id are copies, and one of them is kept; a null doc_id sorts
-before every other (its component is then null); an empty table gives an empty
-result; extra columns are ignored.
+nothing, not even other empty ones, but of those that repeat a doc_id one is
+kept; null text counts as empty; of rows that repeat both doc_id and set one is
+kept at most; a null doc_id sorts before every other (its component is then
+null); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -177,7 +181,7 @@ def band_keys(n: int, regs: np.ndarray, t: float) -> list[int]:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """docs(id, text) -> id, n_shingles, set_id, regs."""
+    """docs(row, id, sign, text) -> row, id, sign, n_shingles, set_id, regs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -189,10 +193,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 h = sh.shingles(text)
                 rows.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), registers(h).tobytes()))
             out = pd.DataFrame(rows, columns=["n_shingles", "set_id", "regs"])
-            out.insert(0, "id", pdf["id"].to_numpy())
+            for i, name in enumerate(("row", "id", "sign")):
+                out.insert(i, name, pdf[name].to_numpy())
             yield out
 
-    return docs.select("id", "text").mapInPandas(run, "id long, n_shingles long, set_id binary, regs binary")
+    return docs.select("row", "id", "sign", "text").mapInPandas(run, "row long, id long, sign binary, n_shingles long, set_id binary, regs binary")
 
 
 def banded(nodes: DataFrame, t: float) -> DataFrame:
@@ -423,18 +428,33 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInPandas(run, "id long, hashes binary")
 
 
+def _sign(text: Column) -> Column:
+    """Tells the texts of a doc_id apart; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept: one row per row of docs.
 
     Linked are documents with 100 * intersection >= percent * union of their
-    sets of size-word shingles; a component is what links reach.
+    sets of size-word shingles; a component is what links reach, named by its
+    smallest doc_id.
     """
+    return _placed(docs, size, percent).select(
+        from_node_id(F.col("id")).alias("doc_id"), "n_shingles", from_node_id(F.col("component")).alias("component_id"), "kept"
+    )
+
+
+def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """docs(doc_id, text) -> id, sign, n_shingles, component, kept: one row per row of docs; id and component by node_id."""
     t = percent / 100
-    rows = docs.select(node_id(F.col("doc_id")).alias("id"), "text")
-    sig = written(signatures(rows, size), "signatures")
-    # One node for each distinct set: its smallest id. Sets without words link with nothing.
-    grouped = sig.filter("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
-    nodes = written(grouped, "nodes")
+    rows = docs.select(node_id(F.col("doc_id")).alias("id"), _sign(F.col("text")).alias("sign"), "text")
+    sig = written(signatures(rows.withColumn("row", F.monotonically_increasing_id()), size), "signatures")
+    # One node for each distinct set, with the first of its rows. Sets without words link with nothing.
+    grouped = sig.filter("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("id", "sign", "row")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    # Numbered in the order of their first rows, so the smallest node of a component has its smallest doc_id.
+    ordered = written(grouped, "sets").orderBy("first.id", "set_id")
+    nodes = written(ordered.withColumn("id", F.monotonically_increasing_id()), "nodes")
     # Sets so small that one element more is too much can only be linked with equal ones.
     smallest = next((n for n in range(1, 1000) if math.floor(n / t + 1e-9) > n), 1000)
     fit = nodes.filter(F.col("n_shingles") >= smallest)
@@ -446,7 +466,8 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     def texts_of(ids: DataFrame) -> DataFrame:
         ids = written(ids.distinct(), "needed")
         n = ids.count()
-        texts = written(rows.join(small_side(ids, n, 16), "id"), "texts")
+        of = nodes.join(small_side(ids, n, 16), "id").select(F.col("id").alias("node"), F.col("first.id").alias("id"), F.col("first.sign").alias("sign"))
+        texts = written(rows.join(small_side(of, n, 64), ["id", "sign"]).select(F.col("node").alias("id"), "text"), "texts")
         return texts if texts.count() == n else texts.dropDuplicates(["id"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -479,29 +500,41 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         links = written(links.unionByName(_links_in_blocks(apart, full, t, percent)), "links")
     where = nodes.select("set_id", "id")
     if links.limit(1).count():
-        where = where.join(connected_components(links), "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
+        where = where.join(connected_components(links), "id", "left").select("set_id", F.coalesce("component", "id").alias("node"))
     else:
-        where = where.withColumnRenamed("id", "component")
-    where = written(where, "components")
-    placed = sig.select("id", "n_shingles", "set_id").join(where, "set_id", "left").withColumn("component", F.coalesce("component", "id"))
-    return _first_of_each(placed).select(from_node_id(F.col("id")).alias("doc_id"), "n_shingles", from_node_id(F.col("component")).alias("component_id"), "kept")
+        where = where.withColumnRenamed("id", "node")
+    stays = nodes.select(F.col("id").alias("node"), F.col("first.id").alias("component"), F.col("first.row").alias("stays"))
+    where = written(where.join(stays, "node").select("set_id", "component", "stays"), "components")
+    columns = ["id", "sign", "n_shingles", "component", "kept"]
+    linked = sig.filter("n_shingles > 0").select("row", "id", "sign", "n_shingles", "set_id").join(where, "set_id").withColumn("kept", F.col("row") == F.col("stays"))
+    return linked.select(*columns).unionByName(_without_words(sig.filter("n_shingles = 0")).select(*columns))
 
 
-def _first_of_each(placed: DataFrame) -> DataFrame:
-    """Rows that share the component's id: almost always one; of repeated ones the first is kept."""
-    at = placed.filter("id = component").withColumn("kept", F.row_number().over(Window.partitionBy("id").orderBy("n_shingles")) == 1)
-    return at.unionByName(placed.filter("id <> component").withColumn("kept", F.lit(False)))
+def _without_words(sig: DataFrame) -> DataFrame:
+    """Each row its own component; of rows that repeat a doc_id the first is kept."""
+    alone = sig.select("row", "id", "sign", "n_shingles", F.col("id").alias("component"))
+    named = alone.filter(F.col("id") != NULL_ID)
+    firsts = named.groupBy("id").agg(F.min(F.struct("sign", "row")).alias("first"))
+    named = named.join(firsts, "id").withColumn("kept", F.col("row") == F.col("first.row")).drop("first")
+    return named.unionByName(alone.filter(F.col("id") == NULL_ID).withColumn("kept", F.lit(True)))
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay when one document of each component does, with their columns.
 
-    Rows without words are linked with nothing and all stay.
+    Rows without words are linked with nothing and all stay, but one of those that repeat a doc_id.
     """
-    found = written(near_components(docs, size, percent), "near")
-    kept = written(found.filter("kept").select(F.col("doc_id").alias("_id")), "kept")
-    n = kept.count()
-    out = docs.join(small_side(kept, n, 16), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    if out.select("doc_id").count() > n:
-        out = out.dropDuplicates(["doc_id"])
-    return out
+    # A row is found again by its doc_id and text; rows that repeat both are told apart by their number only.
+    found = written(_placed(docs, size, percent), "near")
+    keys = found.groupBy(F.col("id").alias("_id"), F.col("sign").alias("_sign")).agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("n_kept"))
+    keys = written(keys.filter("n_kept > 0").select("_id", "_sign", (F.col("n_kept") == F.col("n")).alias("all")), "kept")
+    signed = docs.withColumns({"_node": node_id(F.col("doc_id")), "_key": _sign(F.col("text"))})
+
+    def of(keys: DataFrame, n: int) -> DataFrame:
+        return signed.join(small_side(keys.select("_id", "_sign"), n, 56), (F.col("_node") == F.col("_id")) & (F.col("_key") == F.col("_sign")), "left_semi")
+
+    n, n_whole = keys.count(), keys.filter("all").count()
+    out = of(keys.filter("all"), n_whole)
+    if n > n_whole:
+        out = out.unionByName(of(keys.filter("NOT all"), n - n_whole).dropDuplicates(["_node", "_key"]))
+    return out.drop("_node", "_key")

@@ -166,6 +166,23 @@ def test_near_dedup(spark, size, percent):
     assert Counter((fill(r["doc_id"]), r["n_shingles"], fill(r["component_id"])) for r in got) == brute_components(rows, size, percent)
 
 
+def test_near_dedup_keeps_texts_without_ids_of_their_own_apart(spark):
+    far = [prose(200, 900 + i) for i in range(8)]
+    rows = [(None, far[0]), (None, far[1]), (None, far[1]), (None, None), (None, " "), (7, far[2]), (7, far[3]), (7, near(far[3], 2, 1)), (8, near(far[2], 2, 2)),
+            (9, far[4]), (9, far[4]), (9, far[5]), (10, ""), (10, None), (10, far[6]), (11, near(far[6], 2, 3)), (6, near(far[1], 2, 4))]
+    docs = documents(spark, rows)
+    got = near_dedup.near_components(docs).collect()
+    fill = lambda x: -(1 << 63) if x is None else x
+    assert Counter((fill(r["doc_id"]), r["n_shingles"], fill(r["component_id"])) for r in got) == brute_components(rows, 5, 80)
+    kept = near_dedup.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    left = Counter((r["doc_id"], (r["text"] or "").strip()) for r in kept.collect())
+    third = [x for x in left if x[1] in (far[3], near(far[3], 2, 1))]
+    assert len(third) == 1 and left.pop(third[0]) == 1
+    assert left == Counter({(None, far[0]): 1, (None, far[1]): 1, (None, ""): 2, (7, far[2]): 1, (9, far[4]): 1, (9, far[5]): 1, (10, ""): 1, (10, far[6]): 1})
+    assert sum(r["kept"] for r in got) == kept.count()
+
+
 def test_hypermin_estimate():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2))
