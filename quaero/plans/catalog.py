@@ -426,7 +426,8 @@ def blocks_and_pages(spark, d):
 @query("SELECT doc_id, CAST(greatest(1, len(list_filter(o, lambda x: x <= n // 2))) AS BIGINT) AS page FROM (SELECT doc_id, length(text) AS n, list_transform(range(0, 40), lambda i: i * 500) AS o FROM documents)")
 def page_for_offset(spark, d):
     """The last page that starts at or before the offset: pages of 500 characters, the middle of the text."""
-    starts = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: i * 500)
+    # The SQL makes 40 starts only, so it differs from this where the middle is beyond character 20,000.
+    starts = F.transform(F.sequence(F.lit(0), F.floor(F.coalesce(F.length("text"), F.lit(0)) / 500)), lambda i: i * 500)
     return t(spark, d, "documents").select("doc_id", F.greatest(F.lit(1), F.size(F.filter(starts, lambda x: x <= F.floor(F.length("text") / 2)))).cast("long").alias("page"))
 
 
