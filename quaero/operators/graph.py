@@ -43,7 +43,7 @@ def expand(edges: DataFrame, start: str, depth: int, types: tuple[str, ...] = ()
         seen = seen.filter(F.col("type").isin(*types))
     spark = edges.sparkSession
     # A start that no edge touches is still a node.
-    frontier = nodes = spark.createDataFrame([(start, 0, 0)], "case_id string, hop int, pos long")
+    frontier = nodes = spark.createDataFrame([(start, 0, [])], "case_id string, hop int, pos array<long>")
     met = None
     for hop in range(depth):
         step = frontier.select("case_id", "pos").join(seen, "case_id").select(
@@ -52,8 +52,8 @@ def expand(edges: DataFrame, start: str, depth: int, types: tuple[str, ...] = ()
         met = step if met is None else met.unionByName(step)
         new = step.groupBy(F.col("other_id").alias("case_id")).agg(F.min(F.struct("pos", "edge_ord", "inbound")).alias("at"))
         new = new.join(nodes.select("case_id"), "case_id", "left_anti")
-        # Positions only need to keep the order: (position of the parent, edge) as one number.
-        frontier = new.select("case_id", F.lit(hop + 1).alias("hop"), (F.col("at.pos") * 1_000_003 + F.col("at.edge_ord") * 2 + F.col("at.inbound") + 1).alias("pos"))
+        # Positions only need to keep the order: those of the parent, then the edge, however many edges there are.
+        frontier = new.select("case_id", F.lit(hop + 1).alias("hop"), F.concat("at.pos", F.array(F.col("at.edge_ord").cast("long"), F.col("at.inbound").cast("long"))).alias("pos"))
         nodes = nodes.unionByName(frontier)
     key = F.struct("hop", "pos", "edge_ord", "inbound")
     ends = met.select(F.least("case_id", "other_id").alias("a"), F.greatest("case_id", "other_id").alias("b"), "type", "edge_id", key.alias("at"))

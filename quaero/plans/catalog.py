@@ -362,6 +362,50 @@ def incoming_counts(spark, d):
     return _edges(spark, d).groupBy(F.col("dst").alias("case_id")).agg(F.count(F.lit(1)).alias("incoming"), F.countDistinct("src").alias("citing"))
 
 
+# The SQL of the two above folds the keys; these are over every supplier and part.
+_ALL_EDGES = "SELECT DISTINCT 's' || CAST(l_suppkey AS VARCHAR) AS src, 'p' || CAST(l_partkey AS VARCHAR) AS dst, CASE l_linenumber % 3 WHEN 0 THEN 'CITES' WHEN 1 THEN 'FOLLOWS' ELSE 'AFFIRMS' END AS type FROM lineitem"
+
+
+def _all_edges(spark, d) -> DataFrame:
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "CITES").when(F.col("l_linenumber") % 3 == 1, "FOLLOWS").otherwise("AFFIRMS")
+    keys = t(spark, d, "lineitem").select("l_suppkey", "l_partkey", kind.alias("type")).distinct()
+    e = keys.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), "type", (F.col("l_suppkey") * (1 << 31) + F.col("l_partkey")).alias("edge_ord"))
+    return e.withColumn("edge_id", F.concat_ws("-", "src", "dst", "type"))
+
+
+@query(f"WITH e AS ({_ALL_EDGES}) SELECT src AS case_id, dst AS other_id, type FROM e UNION ALL SELECT dst, src, CASE type WHEN 'AFFIRMS' THEN 'RELATED' ELSE 'CITED_BY' END FROM e")
+def all_edges_both_directions(spark, d):
+    return graph.both_directions(_all_edges(spark, d)).select("case_id", "other_id", "type")
+
+
+@query(f"SELECT dst AS case_id, count(*) AS incoming, count(DISTINCT src) AS citing FROM ({_ALL_EDGES}) GROUP BY 1")
+def all_incoming_counts(spark, d):
+    return _all_edges(spark, d).groupBy(F.col("dst").alias("case_id")).agg(F.count(F.lit(1)).alias("incoming"), F.countDistinct("src").alias("citing"))
+
+
+_BFS = "WITH e AS ({e}), b AS ({b}), h AS (SELECT DISTINCT y AS case_id FROM b WHERE x = 'p1') SELECT 'p1' AS case_id, 0 AS hop UNION ALL SELECT case_id, 1 FROM h UNION ALL SELECT DISTINCT y, 2 FROM b WHERE x IN (SELECT case_id FROM h) AND y <> 'p1' AND y NOT IN (SELECT case_id FROM h)"
+
+
+@query(_BFS.format(e=_ALL_EDGES, b="SELECT src AS x, dst AS y FROM e UNION ALL SELECT dst, src FROM e"))
+def bfs_depth2(spark, d):
+    """Cases within two hops of part 1."""
+    return graph.expand(_all_edges(spark, d), "p1", 2)[0]
+
+
+@query(_BFS.format(e=_ALL_EDGES, b="SELECT src AS x, dst AS y FROM e WHERE type = 'CITES' UNION ALL SELECT dst, src FROM e WHERE type IN ('CITES', 'FOLLOWS')"))
+def bfs_typed(spark, d):
+    """Cases within two hops of part 1 by citations: from a part also against those that follow it."""
+    return graph.expand(_all_edges(spark, d), "p1", 2, ("CITES", "CITED_BY"))[0]
+
+
+@query(f"WITH RECURSIVE e AS ({_ALL_EDGES}), b AS (SELECT src AS x, dst AS y FROM e WHERE type = 'AFFIRMS' UNION SELECT dst, src FROM e WHERE type = 'AFFIRMS'), m AS (SELECT 's1' AS case_id UNION SELECT y FROM m JOIN b ON x = case_id), c AS (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS case_id, min(l_shipdate) AS decided FROM lineitem GROUP BY 1 UNION ALL SELECT 'p' || CAST(l_partkey AS VARCHAR), min(l_shipdate) FROM lineitem GROUP BY 1) SELECT case_id, year(decided) AS decided, CASE WHEN case_id IN (SELECT src FROM e WHERE type = 'AFFIRMS') THEN 'AFFIRMATION' ELSE 'DECISION' END AS kind FROM m JOIN c USING (case_id)")
+def timeline_kind(spark, d):
+    """The chain of supplier 1, each member decided in the year of its first shipment."""
+    lines = t(spark, d, "lineitem")
+    dated = lambda kind, key: lines.groupBy(F.concat(F.lit(kind), key).alias("case_id")).agg(F.year(F.min("l_shipdate")).alias("decided"))
+    return graph.timeline(dated("s", "l_suppkey").unionByName(dated("p", "l_partkey")), _all_edges(spark, d), "s1")
+
+
 @query("SELECT l_partkey AS partkey, o_orderkey AS citing, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS BIGINT) AS rank FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey")
 def citing_cases(spark, d):
     links = t(spark, d, "lineitem").select(F.col("l_partkey").alias("partkey"), F.col("l_orderkey").alias("o_orderkey")).distinct()

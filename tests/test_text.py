@@ -70,6 +70,15 @@ def test_expand(spark):
     assert nodes.count() == 4
 
 
+def test_expand_keeps_the_order_of_many_edges(spark):
+    # d is met before x, so the link between them is named as d sees it, whatever size the numbers of edges have.
+    rows = [(1, "e1", "a", "b", "CITES"), (2, "e2", "a", "c", "CITES"), (5_000_000_000, "e3", "b", "d", "CITES"), (4, "e4", "c", "x", "CITES"), (6, "e6", "x", "d", "RELATED")]
+    edges = spark.createDataFrame(rows, "edge_ord long, edge_id string, src string, dst string, type string")
+    nodes, links = graph.expand(edges, "a", 4)
+    assert {(r["case_id"], r["hop"]) for r in nodes.collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2), ("x", 2)}
+    assert {r["edge_id"] for r in links.collect() if (r["a"], r["b"]) == ("d", "x")} == {"e6--inverse"}
+
+
 def test_timeline(spark):
     edges = spark.createDataFrame(EDGES, "edge_ord int, edge_id string, src string, dst string, type string")
     cases = spark.createDataFrame([("a", "2018-01-01"), ("b", "2019-01-01"), ("c", None), ("d", "2020-01-01")], "case_id string, decided string")
