@@ -225,13 +225,21 @@ def _one_stays(placed: DataFrame) -> DataFrame:
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with their columns."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_chars"))
-    kept = written(kept, "kept")
+    # Rows that share doc_id, digest and length with the one that stays are found along with it; of those one stays.
+    rows = exact_dedup(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_chars"))
+    kept = written(rows.agg(F.max("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("repeated")).filter("kept").drop("kept"), "kept")
     signed = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256)).withColumn("_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
-    out = signed.join(
-        small_side(kept, kept.count(), 120), signed["doc_id"].eqNullSafe(kept["_id"]) & (signed["_sha"] == kept["_sha"]) & (signed["_chars"] == kept["_chars"]), "left_semi"
-    ).drop("_sha", "_chars")
-    return out
+
+    def of(kept: DataFrame, n: int) -> DataFrame:
+        return signed.join(
+            small_side(kept, n, 120), signed["doc_id"].eqNullSafe(kept["_id"]) & (signed["_sha"] == kept["_sha"]) & (signed["_chars"] == kept["_chars"]), "left_semi"
+        )
+
+    n, n_repeated = kept.count(), kept.filter("repeated").count()
+    out = of(kept.filter("NOT repeated"), n - n_repeated)
+    if n_repeated:
+        out = out.unionByName(of(kept.filter("repeated"), n_repeated).dropDuplicates(["doc_id", "_sha", "_chars"]))
+    return out.drop("_sha", "_chars")
 
 
 SQL = r"""

@@ -70,6 +70,14 @@ def test_exact_dedup_keeps_one_of_repeated_rows(table):
     assert exact_dedup.keep_first_copies(table).filter("doc_id = 6").count() <= 1
 
 
+def test_exact_dedup_keeps_the_repeated_row_that_is_first(spark):
+    rows = [(1, "ab"), (2, "a b "), (2, "a b "), (None, "x y"), (None, "x y"), (None, "xy"), (None, "other"), (3, "own"), (3, "else")]
+    docs = documents(spark, rows)
+    kept = exact_dedup.keep_first_copies(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(2, "a b "), (None, "x y"), (None, "other"), (3, "own"), (3, "else")])
+
+
 def test_index_filter_has_no_false_negatives():
     keys = np.frombuffer(b"".join(hashlib.sha256(b"%d" % i).digest() for i in range(2000)), np.uint8).reshape(-1, 32)
     assert exact_dedup.bloom_hits(keys, exact_dedup.bloom_build(keys, 1 << 15), 1 << 15).all()
