@@ -16,24 +16,30 @@ this precision, over the registers in use; pairs clearly below the threshold
 are turned away. What is left is confirmed on the full sets, computed from the
 texts. Equal sets are one node from the start, so copies make no pairs.
 
-Buckets need no cap: first everyone in a bucket meets only its smallest
-member. Members that this leaves in different components meet in blocks of
-bounded size, inside a task: first each one's best few by register estimate go
-on as pairs; then, once those have joined components, what the estimate still
-connects across components is a cluster, in which every pair that passes the
-estimate is compared on its full sets, and a task puts out the links that join
-what it found apart. Nothing is sampled or cut off,
-and no table of pairs grows with the square of a bucket.
+Buckets need no cap. First everyone in a bucket meets only its smallest member,
+and links contract into components. In a bucket that still holds several,
+members meet in blocks of bounded size inside a task. A component that fills
+blocks has them to itself, and its blocks never meet one another, so a bucket of
+n near copies and s others sends about n * s / BLOCK rows, not n * n / BLOCK.
+A meeting puts out a spanning forest: for components that its estimates
+connect, one pair less than there are components. Those pairs are confirmed on
+full sets and contract. What the estimates still connect across components is
+a cluster, in which every pair that passes the estimate is compared on its full
+sets; again a task puts out fewer links than it has components. Nothing is
+sampled or cut off, and no table of pairs grows with the square of a bucket.
 
 Nodes are the distinct sets, whatever doc_ids their rows have: a doc_id that is
-null or repeated joins nothing. It only orders the rows of a component, of which
-the first stays.
+null or repeated joins nothing. It only names the component and orders its rows,
+of which the first stays.
 
 Defined results: a document without words has an empty set and is linked with
-nothing, not even other empty ones, but of those that repeat a doc_id one is
-kept; null text counts as empty; of rows that repeat both doc_id and set one is
-kept at most; a null doc_id sorts before every other (its component is then
-null); an empty table gives an empty result; extra columns are ignored.
+nothing, not even other empty ones; null text counts as empty; a null doc_id
+comes after every other, so a component has a null id only if all its rows do,
+and of these the first in order of text is kept; near_components keeps every
+row whose doc_id is its component's (so rows that repeat that doc_id all are),
+keep_one_of_each exactly one row of each component; an empty table gives an
+empty result; extra columns are ignored by near_components and kept, whatever
+their names, by keep_one_of_each.
 """
 
 from __future__ import annotations
@@ -44,46 +50,56 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import NULL_ID, connected_components, from_node_id, node_id, shuffle_partitions, small_side, written
+from .shared import Scratch, connected_components, shuffle_partitions, small_side, unused
 
 BUCKETS_LOG2, MANTISSA = 7, 10
 REGISTERS = 1 << BUCKETS_LOG2
 BANDS, BAND_ROWS = 25, 5
-BLOCK = 2048
+BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20
-BEST = 4
 PAIR_GROUP = 256
-REMEMBERED = 400_000
+REMEMBERED_BYTES = 48 << 20
+#: Stands for a null doc_id, which comes after every other.
+LAST_ID = (1 << 63) - 1
 
 # ---------------------------------------------------------------- sets and registers
 
 
 class Shingler:
-    """Texts -> sorted arrays of distinct 64-bit shingle hashes."""
+    """Texts (UTF-8) -> sorted arrays of distinct 64-bit shingle hashes. Made anew for each task, so that nothing outlives it."""
 
     def __init__(self, size: int):
         import xxhash
 
         self.size, self.hash = size, xxhash.xxh3_64_intdigest
         self.memo: dict[bytes, int] = {}
+        self.held = 0
 
-    def words(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()  # bytes: lower-cases A-Z and splits at [\x20\x09-\x0D] only
+    def words(self, text: bytes | None) -> np.ndarray:
+        words = (text or b"").lower().split()  # bytes: lower-cases A-Z and splits at [\x20\x09-\x0D] only
         memo, new = self.memo, self.hash
-        if len(memo) > REMEMBERED:
+        if self.held > REMEMBERED_BYTES:
             memo.clear()
-        out = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            h = memo.get(w)
-            if h is None:
-                h = memo[w] = new(w)
-            out[i] = h
-        return out
-
-    def shingles(self, text: str | None) -> np.ndarray:
+            self.held = 0
+        found = list(map(memo.get, words))
+        if None in found:
+            for i, h in enumerate(found):
+                if h is None:
+                    w = words[i]
+                    h = memo.get(w)
+                    if h is None:
+                        h = new(w)
+                        if len(w) <= 256:
+                            memo[w] = h
+                            self.held += len(w) + 170
+                    found[i] = h
+        return np.array(found, np.uint64)
+
+    def shingles(self, text: bytes | None) -> np.ndarray:
         w = self.words(text)
         if not len(w):
             return w
@@ -98,13 +114,10 @@ class Shingler:
         return np.unique(h)
 
 
-_shinglers: dict[int, Shingler] = {}
-
-
-def shingler(size: int) -> Shingler:
-    if size not in _shinglers:
-        _shinglers[size] = Shingler(size)
-    return _shinglers[size]
+def _utf8(column: pa.Array) -> Iterator[bytes | None]:
+    """The bytes of a text column one after another, so that only one text is copied at a time."""
+    for value in column:
+        yield value.as_buffer().to_pybytes() if value.is_valid else None
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -183,21 +196,21 @@ def band_keys(n: int, regs: np.ndarray, t: float) -> list[int]:
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """docs(row, id, sign, text) -> row, id, sign, n_shingles, set_id, regs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        sh = shingler(size)
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
+        sh = Shingler(size)
+        for batch in batches:
+            n, ids, regs = [], [], []
+            for text in _utf8(batch.column("text")):
                 h = sh.shingles(text)
-                rows.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), registers(h).tobytes()))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_id", "regs"])
-            for i, name in enumerate(("row", "id", "sign")):
-                out.insert(i, name, pdf[name].to_numpy())
-            yield out
+                n.append(len(h))
+                ids.append(xxhash.xxh3_128_digest(h.tobytes()))
+                regs.append(registers(h).tobytes())
+            columns = [*(batch.column(c) for c in ("row", "id", "sign")), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "sign", "n_shingles", "set_id", "regs"])
 
-    return docs.select("row", "id", "sign", "text").mapInPandas(run, "row long, id long, sign binary, n_shingles long, set_id binary, regs binary")
+    return docs.select("row", "id", "sign", "text").mapInArrow(run, "row long, id long, sign binary, n_shingles long, set_id binary, regs binary")
 
 
 def banded(nodes: DataFrame, t: float) -> DataFrame:
@@ -237,12 +250,12 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     rows = spread.join(texts.withColumnRenamed("id", "b"), "b").select("a", "grp", "b", "text").unionByName(heads)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sh = shingler(size)
+        sh = Shingler(size)
         head, mine = None, None
         for pdf in batches:
             out = []
             for a, b, text in zip(pdf["a"], pdf["b"], pdf["text"], strict=True):
-                h = sh.shingles(text)
+                h = sh.shingles(text.encode())
                 if not isinstance(b, str):
                     head, mine = a, h
                     continue
@@ -260,35 +273,45 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return found
 
 
-def _tasks(apart: DataFrame, members: DataFrame, weight: Column) -> DataFrame:
+def _tasks(apart: DataFrame, members: DataFrame, weight: Column | float, scratch: Scratch) -> DataFrame:
     """apart(key, id, component), members(id, ...) -> rows of tasks, in which blocks of a bucket meet.
 
-    A bucket's members are cut by component into blocks of weight 1 or so; two
-    blocks meet unless both hold one and the same component. side is 1 for the
-    second of two different blocks.
+    A bucket's members are cut into blocks of weight 1 or so. A component that
+    weighs more has blocks of its own; the others are dealt to blocks by
+    hash. Two blocks meet unless both hold one and the same component. side is
+    1 for the second of two different blocks.
     """
-    spark = apart.sparkSession
-    apart = apart.join(members.select("id", weight.alias("weight")), "id")
-    size = apart.groupBy("key").agg(F.ceil(F.sum("weight")).alias("blocks"))
-    # Blocks by hash within a bucket: no bucket's members need to be numbered in one task.
-    cut = apart.join(size, "key").withColumn("blk", F.pmod(F.xxhash64("component"), F.col("blocks")))
-    per = cut.groupBy("key", "blk").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("weight").alias("n"))
-    # A component that fills a block many times over is cut again, by id.
-    per = per.withColumn("subs", F.ceil(F.col("n") / 2))
-    cut = cut.join(per.select("key", "blk", "subs"), ["key", "blk"]).withColumn("sub", F.pmod(F.xxhash64("id", F.lit(7)), F.col("subs")))
-    units = per.select("key", "blk", "lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"))
-    l, r = units.alias("l"), units.alias("r")
-    order = F.struct("l.blk", "l.sub") <= F.struct("r.blk", "r.sub")
+    if isinstance(weight, float):
+        weighed = apart.withColumn("weight", F.lit(weight))
+    else:
+        weighed = apart.join(members.select("id", weight.alias("weight")), "id")
+    parts = weighed.groupBy("key", "component").agg(F.sum("weight").alias("n"))
+    light = parts.filter("n <= 1").groupBy("key").agg(F.ceil(F.sum("n")).alias("blocks"))
+    # Ids are not negative, so a negative number can name a component's own blocks.
+    own = F.when(F.col("n") > 1, -1 - F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.col("blocks")))
+    placed = scratch.written(
+        parts.join(light, "key", "left").select("key", "component", "n", own.alias("blk"), F.when(F.col("n") > 1, F.ceil("n")).otherwise(F.lit(1)).alias("subs")),
+        "blocks",
+    )
+    blocks = placed.groupBy("key", "blk").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("subs").alias("subs"))
+    l, r = blocks.alias("l"), blocks.alias("r")
     pure = (F.col("l.lo") == F.col("l.hi")) & (F.col("r.lo") == F.col("r.hi")) & (F.col("l.lo") == F.col("r.lo"))
-    meet = l.join(r, (F.col("l.key") == F.col("r.key")) & order & ~pure).select(
-        F.col("l.key").alias("key"), F.struct("l.blk", "l.sub").alias("x"), F.struct("r.blk", "r.sub").alias("y")
+    subs = lambda x: F.sequence(F.lit(0).cast("long"), F.col(f"{x}.subs").cast("long") - 1)
+    meet = (
+        l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.blk") <= F.col("r.blk")) & ~pure)
+        .select(F.col("l.key").alias("key"), F.col("l.blk").alias("x"), F.col("r.blk").alias("y"), subs("l").alias("xs"), subs("r").alias("ys"))
+        .withColumn("xsub", F.explode("xs")).withColumn("ysub", F.explode("ys"))
+        .select("key", F.struct(F.col("x").alias("blk"), F.col("xsub").alias("sub")).alias("x"), F.struct(F.col("y").alias("blk"), F.col("ysub").alias("sub")).alias("y"))
     )
-    meet = written(meet.withColumn("task", F.xxhash64("key", "x", "y")), "meetings")
-    member = cut.select("key", F.struct("blk", "sub").alias("u"), "id", "component").join(members, "id")
+    meet = scratch.written(meet.withColumn("task", F.xxhash64("key", "x", "y")), "meetings")
+    sub = F.pmod(F.xxhash64("id", F.lit(7)), F.col("subs").cast("long"))
+    member = apart.join(placed.select("key", "component", "blk", "subs"), ["key", "component"]).select(
+        "key", F.struct("blk", sub.alias("sub")).alias("u"), "id", "component"
+    ).join(members, "id")
     sent = meet.select("key", "task", F.col("x").alias("u"), F.lit(0).alias("side")).unionByName(
         meet.filter("x <> y").select("key", "task", F.col("y").alias("u"), F.lit(1).alias("side"))
     ).join(member, ["key", "u"])
-    return sent.drop("u").repartition(shuffle_partitions(spark), "task").sortWithinPartitions("task")
+    return sent.drop("u").repartition(shuffle_partitions(apart.sparkSession), "task").sortWithinPartitions("task")
 
 
 class _Task:
@@ -332,59 +355,77 @@ def _by_task(sent: DataFrame, compare, schema: str) -> DataFrame:
     return sent.mapInPandas(run, schema)
 
 
-def _best_pairs(apart: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
-    """apart(key, id, component) -> (a, b): each member's BEST partners of other components, by estimate, in each meeting of blocks."""
+def _spanning(weights: np.ndarray) -> list[tuple[int, int]]:
+    """Symmetric weights, -1 for none -> the edges of a heaviest spanning forest."""
+    n = len(weights)
+    done, best, via, out = np.zeros(n, bool), np.full(n, -1.0, np.float32), np.zeros(n, np.int64), []
+    for _ in range(n):
+        i = int(np.argmax(np.where(done, -2.0, best)))
+        if best[i] >= 0:
+            out.append((int(via[i]), i))
+        done[i] = True
+        better = (weights[i] > best) & ~done
+        best[better], via[better] = weights[i][better], i
+    return out
+
+
+def _forest(apart: DataFrame, nodes: DataFrame, t: float, scratch: Scratch) -> DataFrame:
+    """apart(key, id, component) -> (a, b, ca, cb): in each meeting of blocks, pairs of members a, b of
+    components ca, cb that pass the estimate, those with the highest that span what estimates connect."""
 
     def compare(task: _Task) -> list[tuple]:
-        out = []
+        comps, at = np.unique(task.comp, return_inverse=True)
+        if len(comps) < 2:
+            return []
+        n = len(task.ids)
+        weights = np.full((len(comps), len(comps)), -1, np.float32)
+        pairs = np.zeros((len(comps), len(comps)), np.int64)
         for i in task.left:
-            at, est = task.candidates(i, task.right[task.comp[task.right] != task.comp[i]], t)
-            if len(at) > BEST:
-                at = at[np.argsort(-est, kind="stable")[:BEST]]
-            out += [(min(task.ids[i], task.ids[j]), max(task.ids[i], task.ids[j])) for j in at]
+            among, est = task.candidates(i, task.right[at[task.right] != at[i]], t)
+            if len(among):
+                order = np.argsort(est, kind="stable")
+                among, est, row = among[order], est[order].astype(np.float32), at[i]
+                more = est > weights[row, at[among]]
+                col = at[among[more]]
+                weights[row, col], pairs[row, col] = est[more], i * n + among[more]  # the last of several is the best
+        flip = weights.T > weights
+        weights, pairs = np.where(flip, weights.T, weights), np.where(flip, pairs.T, pairs)
+        out = []
+        for x, y in _spanning(weights):
+            i, j = divmod(int(pairs[x, y]), n)
+            if task.ids[i] > task.ids[j]:
+                i, j = j, i
+            out.append((task.ids[i], task.ids[j], task.comp[i], task.comp[j]))
         return out
 
     members = nodes.select("id", "n_shingles", "regs")
-    return _by_task(_tasks(apart, members, F.lit(1 / BLOCK)), compare, "a long, b long").distinct()
-
-
-def _maybe_linked(apart: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
-    """apart(key, id, component) -> (a, b): a is the smallest id that b is connected with, in a meeting of blocks, by pairs
-    of different components that pass the estimate."""
+    return _by_task(_tasks(apart, members, 1 / BLOCK, scratch), compare, "a long, b long, ca long, cb long").distinct()
 
-    def compare(task: _Task) -> list[tuple]:
-        root = np.arange(len(task.ids))
-        for i in task.left:
-            among = task.right[(task.comp[task.right] != task.comp[i]) & (root[task.right] != root[i])]
-            at, _ = task.candidates(i, among, t)
-            for r in set(root[at]):
-                root[root == r] = root[i]
-        parts = pd.Series(task.ids).groupby(root).transform("min").to_numpy()
-        return [(a, b) for a, b in zip(parts, task.ids, strict=True) if a != b]
 
-    members = nodes.select("id", "n_shingles", "regs")
-    return _by_task(_tasks(apart, members, F.lit(1 / BLOCK)), compare, "a long, b long").distinct()
+def _open(apart: DataFrame) -> DataFrame:
+    """Rows (key, id, component) of keys with more than one component."""
+    keys = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    return apart.join(keys, "key", "left_semi")
 
 
-def _clusters(maybe: DataFrame, nodes: DataFrame, apart: DataFrame, t: float) -> DataFrame:
-    """(key, id, component): each member of a connected part of maybe(a, b), once for each size class in which it can be linked."""
-    # Each b keeps its smallest a, which is linked with b's other ones: few, and the same for many.
-    first = maybe.withColumn("m", F.min("a").over(Window.partitionBy("b")))
-    links = first.select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
-    cluster = connected_components(links).withColumnRenamed("component", "cluster")
+def _clusters(maybe: DataFrame, nodes: DataFrame, apart: DataFrame, now: DataFrame, t: float, scratch: Scratch) -> DataFrame:
+    """maybe(ca, cb), now(id, component) -> (key, id, component): the members of components that maybe connects, with the
+    component that they are in now, once for each size class in which they can be linked."""
+    cluster = connected_components(maybe.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch)
     of = apart.select("id", "component").distinct()
+    rows = of.join(cluster.select(F.col("id").alias("component"), F.col("component").alias("cluster")), "component").select("id", "cluster")
+    rows = rows.join(now, "id", "left").join(nodes.select("id", "n_shingles"), "id").withColumn("component", F.coalesce("component", "id"))
     rank = lambda n: F.floor(F.log(n) / F.lit(-math.log(t)) + 1e-9)
     least = F.greatest(F.lit(1), F.ceil(F.col("n_shingles") * F.lit(t) - 1e-9))
-    rows = cluster.join(of, "id").join(nodes.select("id", "n_shingles"), "id")
     rows = rows.select("id", "component", "cluster", F.explode(F.sequence(rank(least), rank(F.col("n_shingles")))).alias("cls"))
-    return rows.select(F.xxhash64("cluster", "cls").alias("key"), "id", "component")
+    return _open(rows.select(F.xxhash64("cluster", "cls").alias("key"), "id", "component"))
 
 
-def _links_in_blocks(apart: DataFrame, members: DataFrame, t: float, percent: int) -> DataFrame:
+def _links_in_blocks(apart: DataFrame, members: DataFrame, t: float, percent: int, scratch: Scratch) -> DataFrame:
     """apart(key, id, component), members(id, n_shingles, regs, hashes) -> (a, b): links that join all
     components with a link between them under a key. Every pair that the estimate lets pass is
     compared on its full sets inside a task; what the task's earlier links already join is not
-    compared again, so a task puts out fewer links than it has rows, however many pairs there are.
+    compared again, so a task puts out fewer links than it has components, however many pairs there are.
     """
 
     def compare(task: _Task) -> list[tuple]:
@@ -414,18 +455,21 @@ def _links_in_blocks(apart: DataFrame, members: DataFrame, t: float, percent: in
         return out
 
     weight = F.greatest(F.lit(1 / BLOCK), F.col("n_shingles") / BLOCK_SHINGLES)
-    return _by_task(_tasks(apart, members, weight), compare, "a long, b long").distinct()
+    return _by_task(_tasks(apart, members, weight, scratch), compare, "a long, b long").distinct()
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
     """texts(id, text) -> id, hashes: the full set of each."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sh = shingler(size)
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "hashes": [sh.shingles(x).tobytes() for x in pdf["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sh = Shingler(size)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # sets are several times their texts
+                part = batch.slice(at, 256)
+                sets = pa.array([sh.shingles(x).tobytes() for x in _utf8(part.column("text"))], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), sets], ["id", "hashes"])
 
-    return texts.mapInPandas(run, "id long, hashes binary")
+    return texts.mapInArrow(run, "id long, hashes binary")
 
 
 def _sign(text: Column) -> Column:
@@ -438,22 +482,24 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Linked are documents with 100 * intersection >= percent * union of their
     sets of size-word shingles; a component is what links reach, named by its
-    smallest doc_id.
+    smallest doc_id. kept: doc_id = component_id.
     """
-    return _placed(docs, size, percent).select(
-        from_node_id(F.col("id")).alias("doc_id"), "n_shingles", from_node_id(F.col("component")).alias("component_id"), "kept"
-    )
+    named = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
+    is_first = F.when(F.col("id") != LAST_ID, F.col("id") == F.col("component")).otherwise(F.col("stays"))
+    return _placed(docs, size, percent).select(named("id").alias("doc_id"), "n_shingles", named("component").alias("component_id"), is_first.alias("kept"))
 
 
 def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """docs(doc_id, text) -> id, sign, n_shingles, component, kept: one row per row of docs; id and component by node_id."""
+    """docs(doc_id, text) -> id, sign, n_shingles, component, stays: one row per row of docs, LAST_ID for null; one row of a component stays."""
     t = percent / 100
-    rows = docs.select(node_id(F.col("doc_id")).alias("id"), _sign(F.col("text")).alias("sign"), "text")
+    scratch = Scratch(docs.sparkSession)
+    written = scratch.written
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), _sign(F.col("text")).alias("sign"), "text")
     sig = written(signatures(rows.withColumn("row", F.monotonically_increasing_id()), size), "signatures")
     # One node for each distinct set, with the first of its rows. Sets without words link with nothing.
     grouped = sig.filter("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("id", "sign", "row")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     # Numbered in the order of their first rows, so the smallest node of a component has its smallest doc_id.
-    ordered = written(grouped, "sets").orderBy("first.id", "set_id")
+    ordered = written(grouped, "sets").orderBy("first.id", "first.sign", "set_id")
     nodes = written(ordered.withColumn("id", F.monotonically_increasing_id()), "nodes")
     # Sets so small that one element more is too much can only be linked with equal ones.
     smallest = next((n for n in range(1, 1000) if math.floor(n / t + 1e-9) > n), 1000)
@@ -468,73 +514,59 @@ def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
         n = ids.count()
         of = nodes.join(small_side(ids, n, 16), "id").select(F.col("id").alias("node"), F.col("first.id").alias("id"), F.col("first.sign").alias("sign"))
         texts = written(rows.join(small_side(of, n, 64), ["id", "sign"]).select(F.col("node").alias("id"), "text"), "texts")
-        return texts if texts.count() == n else texts.dropDuplicates(["id"])
+        return texts if texts.count() == n else texts.dropDuplicates(["id"])  # rows that repeat both doc_id and text
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
         return _linked(pairs, texts_of(ids), size, percent)
 
-    several = members.filter("m > 2 and id <> a").select("key", "id")
+    several = members.filter("m > 2").select("key", "id")
 
-    def still_apart(links: DataFrame) -> DataFrame:
-        """Members of buckets that hold more than one component."""
-        if links.limit(1).count():
-            apart = several.join(connected_components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        else:
-            apart = several.withColumn("component", F.col("id"))
-        apart = written(apart, "apart")
-        open_keys = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        return written(apart.join(open_keys, "key", "left_semi"), "apart")
+    def components(links: DataFrame) -> DataFrame:
+        return connected_components(links, scratch) if links.limit(1).count() else nodes.select("id", F.col("id").alias("component")).limit(0)
 
     links = written(confirmed(pairs), "links")
-    apart = still_apart(links)
-    more = written(_best_pairs(apart, nodes, t).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if more.limit(1).count():
-        links = written(links.unionByName(confirmed(more)), "links")
-        apart = still_apart(links)
-    maybe = written(_maybe_linked(apart, nodes, t), "maybe")
+    now = components(links)
+    apart = written(_open(written(several.join(now, "id", "left").withColumn("component", F.coalesce("component", "id")), "apart")), "apart")
+    maybe = written(_forest(apart, nodes, t, scratch), "maybe")
     if maybe.limit(1).count():
-        apart = written(_clusters(maybe, nodes, apart, t), "clusters")
+        found = written(confirmed(maybe.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")), "links")
+        if found.limit(1).count():
+            links = written(links.unionByName(found), "links")
+            now = components(links)
+        apart = written(_clusters(maybe, nodes, apart, now, t, scratch), "clusters")
         sets = _sets(texts_of(apart.select("id")), size)
         full = written(nodes.select("id", "n_shingles", "regs").join(sets, "id"), "sets")
-        links = written(links.unionByName(_links_in_blocks(apart, full, t, percent)), "links")
-    where = nodes.select("set_id", "id")
-    if links.limit(1).count():
-        where = where.join(connected_components(links), "id", "left").select("set_id", F.coalesce("component", "id").alias("node"))
-    else:
-        where = where.withColumnRenamed("id", "node")
-    stays = nodes.select(F.col("id").alias("node"), F.col("first.id").alias("component"), F.col("first.row").alias("stays"))
-    where = written(where.join(stays, "node").select("set_id", "component", "stays"), "components")
-    columns = ["id", "sign", "n_shingles", "component", "kept"]
-    linked = sig.filter("n_shingles > 0").select("row", "id", "sign", "n_shingles", "set_id").join(where, "set_id").withColumn("kept", F.col("row") == F.col("stays"))
-    return linked.select(*columns).unionByName(_without_words(sig.filter("n_shingles = 0")).select(*columns))
-
-
-def _without_words(sig: DataFrame) -> DataFrame:
-    """Each row its own component; of rows that repeat a doc_id the first is kept."""
-    alone = sig.select("row", "id", "sign", "n_shingles", F.col("id").alias("component"))
-    named = alone.filter(F.col("id") != NULL_ID)
-    firsts = named.groupBy("id").agg(F.min(F.struct("sign", "row")).alias("first"))
-    named = named.join(firsts, "id").withColumn("kept", F.col("row") == F.col("first.row")).drop("first")
-    return named.unionByName(alone.filter(F.col("id") == NULL_ID).withColumn("kept", F.lit(True)))
+        found = written(_links_in_blocks(apart, full, t, percent, scratch), "links")
+        if found.limit(1).count():
+            links = written(links.unionByName(found), "links")
+            now = components(links)
+    where = nodes.select("set_id", "id").join(now, "id", "left").select("set_id", F.coalesce("component", "id").alias("node"))
+    first = nodes.select(F.col("id").alias("node"), F.col("first.id").alias("component"), F.col("first.row").alias("first_row"))
+    where = written(where.join(first, "node").select("set_id", "component", "first_row"), "components")
+    scratch.keep(sig, where)
+    columns = ["id", "sign", "n_shingles", "component", "stays"]
+    linked = sig.filter("n_shingles > 0").select("row", "id", "sign", "n_shingles", "set_id").join(where, "set_id").withColumn("stays", F.col("row") == F.col("first_row"))
+    alone = sig.filter("n_shingles = 0").withColumn("component", F.col("id")).withColumn("stays", F.lit(True))
+    return linked.select(*columns).unionByName(alone.select(*columns))
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay when one document of each component does, with their columns.
+    """The rows of docs that stay when one row of each component does, with their columns.
 
-    Rows without words are linked with nothing and all stay, but one of those that repeat a doc_id.
+    A row is found again by its doc_id and text. The few that go are joined
+    against all rows, so as long as they fit a broadcast of checked size no
+    text is moved, and beyond it each is moved once.
     """
-    # A row is found again by its doc_id and text; rows that repeat both are told apart by their number only.
-    found = written(_placed(docs, size, percent), "near")
-    keys = found.groupBy(F.col("id").alias("_id"), F.col("sign").alias("_sign")).agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("n_kept"))
-    keys = written(keys.filter("n_kept > 0").select("_id", "_sign", (F.col("n_kept") == F.col("n")).alias("all")), "kept")
-    signed = docs.withColumns({"_node": node_id(F.col("doc_id")), "_key": _sign(F.col("text"))})
-
-    def of(keys: DataFrame, n: int) -> DataFrame:
-        return signed.join(small_side(keys.select("_id", "_sign"), n, 56), (F.col("_node") == F.col("_id")) & (F.col("_key") == F.col("_sign")), "left_semi")
-
-    n, n_whole = keys.count(), keys.filter("all").count()
-    out = of(keys.filter("all"), n_whole)
-    if n > n_whole:
-        out = out.unionByName(of(keys.filter("NOT all"), n - n_whole).dropDuplicates(["_node", "_key"]))
-    return out.drop("_node", "_key")
+    scratch = Scratch(docs.sparkSession)
+    the_id, the_sign, n_rows = unused(docs, "id", "sign", "n")
+    placed = _placed(docs.select("doc_id", "text"), size, percent)
+    keys = placed.groupBy(F.col("id").alias(the_id), F.col("sign").alias(the_sign)).agg(F.count(F.lit(1)).alias(n_rows), F.count_if("stays").alias("n_stay"))
+    changed = scratch.written(keys.filter(F.col("n_stay") < F.col(n_rows)), "changed")
+    n, n_some = changed.count(), changed.filter("n_stay > 0").count()
+    signed = docs.withColumns({the_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), the_sign: _sign(F.col("text"))})
+    out = signed.join(small_side(changed.select(the_id, the_sign), n, 72), [the_id, the_sign], "left_anti")
+    if n_some:  # rows that repeat both doc_id and text
+        some = changed.filter("n_stay > 0").select(the_id, the_sign)
+        out = out.unionByName(signed.join(small_side(some, n_some, 72), [the_id, the_sign], "left_semi").dropDuplicates([the_id, the_sign]))
+    return out.select(*docs.columns)

@@ -20,14 +20,14 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A local folder is made only where the session names none, as in tests.
+    A local folder is made only where the session names none and all runs in
+    one process, as in tests: on a cluster executors would not see it.
     """
-    try:
-        base = spark.conf.get("spark.checkpoint.dir")
-    except Exception:
-        base = None
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quaero-")
@@ -46,6 +46,50 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The tables that one operator writes. What its result does not read is
+    removed when the operator has planned it, so runs leave nothing behind but
+    the few tables that their lazy results still need."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(self.spark, label)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def keep(self, *needed: DataFrame) -> None:
+        """Removes every table but those needed."""
+        left = []
+        for df, path in self.tables:
+            if any(df is x for x in needed):
+                left.append((df, path))
+            else:
+                remove(self.spark, path)
+        self.tables = left
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -69,37 +113,40 @@ def small_side(df: DataFrame, rows: int, row_bytes: int, limit_mb: int = 16) ->
     return F.broadcast(df) if rows * row_bytes <= limit_mb << 20 else df
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(a, b) long links -> (id, component): the smallest id that is reachable.
 
     Every round takes the smallest label among the neighbours and then jumps
-    to that label's own label; both joins are plain equi-joins, which adaptive
-    execution splits at a hot id, and the minimum is combined before it is
-    shuffled. Labels are written to the shared folder each round. Only the
-    number of changed labels reaches the driver.
+    to that label's own label; both joins are plain equi-joins, broadcast only
+    while the labels are few, and split by adaptive execution at a hot id
+    beyond; the minimum is combined before it is shuffled. Labels are written to the shared folder each round, and the round
+    before is removed. Only whether a label changed reaches the driver. Labels
+    never rise and some label falls in every round but the last, so it ends.
     """
-    both = written(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        "links",
-    )
-    labels = written(
+    own = Scratch(edges.sparkSession)
+    both = own.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both-ways")
+    labels = own.written(
         both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")),
         "labels",
     )
-    for _ in range(max_rounds):
+    n = labels.count()
+    while True:
         near = (
-            both.join(labels.select(F.col("id").alias("b"), "component"), "b")
+            both.join(small_side(labels.select(F.col("id").alias("b"), "component"), n, 40), "b")
             .groupBy(F.col("a").alias("id"))
             .agg(F.min("component").alias("near"))
         )
-        stepped = labels.join(near, "id").select(
+        stepped = near.join(small_side(labels, n, 40), "id").select(
             "id", F.col("component").alias("was"), F.least("component", "near").alias("label")
         )
         jump = labels.select(F.col("id").alias("label"), F.col("component").alias("jumped"))
-        new = written(
-            stepped.join(jump, "label").select("id", "was", F.least("label", "jumped").alias("component")), "labels"
+        table = own.written(
+            stepped.join(small_side(jump, n, 40), "label").select("id", "was", F.least("label", "jumped").alias("component")), "labels"
         )
-        labels = new.select("id", "component")
-        if not new.filter("component <> was").limit(1).count():
+        changed = table.filter("component <> was").limit(1).count()
+        own.keep(both, table) if changed else own.keep(table)
+        labels = table.select("id", "component")
+        if not changed:
+            if scratch:
+                scratch.tables += own.tables
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
