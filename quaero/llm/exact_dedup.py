@@ -8,10 +8,13 @@ merged, and the entry that stays is the one with the most code points, then
 the smallest identifier. Rows whose digest is in the index more than once are
 verified byte by byte against the text that stays; should texts differ in
 spite of equal digests, their digest's rows are grouped again by whole text.
+For the verification a group is cut into pieces of VERIFY_ROWS rows, and the
+text that stays goes to each piece, so no group lands in one task.
 
 Defined results: a null text counts as empty; empty and all-blank texts are
 equal; of rows repeated with their doc_id one stays; a null doc_id sorts after
-every other; an empty table gives an empty result; extra columns are ignored.
+every other; an empty table gives an empty result; extra columns are ignored by
+exact_dedup and kept, whatever their names, by keep_first_copies.
 """
 
 from __future__ import annotations
@@ -23,13 +26,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WS, shuffle_partitions, small_side, written
+from .shared import WS, Scratch, shuffle_partitions, small_side, unused
 
 #: Null doc_ids sort last while the index is built.
 LAST_ID = (1 << 63) - 1
 BLOOM_BITS = 10
 BLOOM_HASHES = 4
-FILTER_LIMIT_MB = 32
+#: The filter over the whole index has BLOOM_BITS a key up to this size; with more keys it lets more rows through, which
+#: are joined exactly all the same.
+FILTER_BITS = 1 << 27
+VERIFY_ROWS = 128
 
 
 def normalised(text: Column) -> Column:
@@ -79,8 +85,13 @@ def _key_matrix(blobs, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, width)
 
 
-def build_index(signatures: DataFrame, width: int, ranges: int, memtable_rows: int = 1 << 17, run_bits: int = 1 << 16) -> DataFrame:
-    """(doc_id, key, n_chars) -> index entries (key, keep_id, group_size) of all digests."""
+def build_index(signatures: DataFrame, width: int, ranges: int, memtable_rows: int = 1 << 17) -> DataFrame:
+    """(doc_id, key, n_chars) -> index entries (key, keep_id, group_size) of all digests.
+
+    A segment's filter is sized by the keys that a full memtable has in a range,
+    so filters take their share of the keys' bytes, however many runs and ranges.
+    """
+    run_bits = 1 << max(6, (BLOOM_BITS * memtable_rows // ranges).bit_length())
 
     def flush(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -89,12 +100,14 @@ def build_index(signatures: DataFrame, width: int, ranges: int, memtable_rows: i
         def run():
             parts = [np.concatenate(x) for x in zip(*held, strict=True)]
             keys, chars, ids, counts = _fold(*parts)
-            at = (keys[:, 0].astype(np.int64) << 8 | keys[:, min(1, width - 1)]) % ranges
+            head = np.zeros((len(keys), 4), np.uint8)
+            head[:, : min(4, width)] = keys[:, :4]
+            at = head.view(">u4").ravel().astype(np.int64) % ranges
             out = []
             order = np.argsort(at, kind="stable")
             for r in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
                 k = keys[r]
-                out.append((int(at[r[0]]), k.tobytes(), chars[r].tobytes(), ids[r].tobytes(), counts[r].tobytes(), bloom_build(k, run_bits).tobytes() if len(k) * 4 < run_bits else b""))
+                out.append((int(at[r[0]]), k.tobytes(), chars[r].tobytes(), ids[r].tobytes(), counts[r].tobytes(), bloom_build(k, run_bits).tobytes()))
             held.clear()
             return pd.DataFrame(out, columns=["range_id", "keys", "chars", "ids", "counts", "bloom"])
 
@@ -111,16 +124,13 @@ def build_index(signatures: DataFrame, width: int, ranges: int, memtable_rows: i
 
     def compact(pdf: pd.DataFrame) -> pd.DataFrame:
         runs = [(_key_matrix([k], width), np.frombuffer(c, np.int64), np.frombuffer(i, np.int64), np.frombuffer(n, np.int64)) for k, c, i, n in zip(pdf["keys"], pdf["chars"], pdf["ids"], pdf["counts"], strict=True)]
-        if all(pdf["bloom"].str.len()):
-            once = np.zeros(run_bits // 8, np.uint8)
-            twice = once.copy()
-            for b in pdf["bloom"]:  # bits that are set in two filters at least
-                b = np.frombuffer(b, np.uint8)
-                twice |= once & b
-                once |= b
-            shared = [bloom_hits(r[0], twice, run_bits) for r in runs]
-        else:
-            shared = [np.ones(len(r[0]), bool) for r in runs]
+        once = np.zeros(run_bits // 8, np.uint8)
+        twice = once.copy()
+        for b in pdf["bloom"]:  # bits that are set in two filters at least
+            b = np.frombuffer(b, np.uint8)
+            twice |= once & b
+            once |= b
+        shared = [bloom_hits(r[0], twice, run_bits) for r in runs]
         alone = [np.concatenate([r[j][~m] for r, m in zip(runs, shared, strict=True)]) for j in range(4)]
         merged = _fold(*[np.concatenate([r[j][m] for r, m in zip(runs, shared, strict=True)]) for j in range(4)])
         keys, _, ids, counts = (np.concatenate(x) for x in zip(alone, merged, strict=True))
@@ -133,46 +143,58 @@ def build_index(signatures: DataFrame, width: int, ranges: int, memtable_rows: i
 
 
 def exact_dedup(docs: DataFrame, digest_bytes: int = 32, range_rows: int = 1 << 18) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256, one row per row of docs.
+    """docs(doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256, n_chars, one row per row of docs.
 
     digest_bytes: bytes of SHA-256 that key the index. Whatever it is, texts
     are only grouped when they are equal byte by byte.
     """
+    return _deduplicated(docs, digest_bytes, range_rows).drop("sign")
+
+
+def _sign(text: Column) -> Column:
+    """Tells the texts of a doc_id apart; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def _deduplicated(docs: DataFrame, digest_bytes: int = 32, range_rows: int = 1 << 18) -> DataFrame:
+    """What exact_dedup returns, with the sign of each row's text."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
     keyed = (
         docs.withColumn("norm", normalised(F.col("text")))
         .withColumn("text_sha256", F.sha2("norm", 256))
         .withColumn("key", F.substring(F.unhex("text_sha256"), 1, digest_bytes))
     )
-    signatures = written(
-        keyed.select("doc_id", "key", "text_sha256", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars")), "digests"
+    signatures = scratch.written(
+        keyed.select("doc_id", "key", "text_sha256", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), _sign(F.col("text")).alias("sign")), "digests"
     )
     n = signatures.count()
-    ranges = int(min(1 << 16, max(shuffle_partitions(spark), n // range_rows)))
-    many = written(build_index(signatures, digest_bytes, ranges).filter("group_size > 1"), "lsm-index")
+    ranges = int(max(shuffle_partitions(spark), n // range_rows))
+    many = scratch.written(build_index(signatures, digest_bytes, ranges).filter("group_size > 1"), "lsm-index")
     n_many = many.count()
-    hits = keyed.select("doc_id", "key", "norm")
-    bits = max(1 << 13, n_many * BLOOM_BITS)
-    if bits // 8 <= FILTER_LIMIT_MB << 20:  # the index's filter, of a checked size, spares texts that occur once the shuffle
-        packed = spark.sparkContext.broadcast(_index_filter(many, bits))
-
-        @F.pandas_udf("boolean")
-        def may_hit(key: pd.Series) -> pd.Series:
-            return pd.Series(bloom_hits(_key_matrix(key, digest_bytes), packed.value, bits) if len(key) else [], dtype=bool)
-
-        probe = signatures.select("key").distinct().filter(may_hit("key"))
-        n_probe = probe.count()
-        hits = hits.join(small_side(probe, n_probe, 2 * digest_bytes + 32), "key", "left_semi")
-    verified = _verify(hits, many)
-    failed = written(verified, "verified").filter("not same").select("key").distinct()
+    bits = min(FILTER_BITS, max(1 << 13, n_many * BLOOM_BITS))
+    packed = spark.sparkContext.broadcast(_index_filter(many, bits))  # of a fixed size at most
+
+    @F.pandas_udf("boolean")
+    def may_hit(key: pd.Series) -> pd.Series:
+        return pd.Series(bloom_hits(_key_matrix(key, digest_bytes), packed.value, bits) if len(key) else [], dtype=bool)
+
+    # Texts that occur once go no further than the filter.
+    hits = scratch.written(keyed.select("doc_id", "key", "norm").filter(may_hit("key")).join(many, "key"), "hits")
+    verified = scratch.written(_verify(hits), "verified")
+    failed = scratch.written(verified.filter("not same").select("key").distinct(), "failed")
     placed = signatures.join(many, "key", "left").select(
-        "doc_id", "key", "text_sha256", "n_chars",
+        "doc_id", "key", "text_sha256", "n_chars", "sign",
         F.coalesce("keep_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
     )
     if failed.limit(1).count():
-        placed = placed.join(failed, "key", "left_anti").unionByName(_regroup(keyed.join(failed, "key", "left_semi")))
+        again = scratch.written(_regroup(keyed.join(failed, "key", "left_semi")), "regrouped")
+        scratch.keep(signatures, many, failed, again)
+        placed = placed.join(failed, "key", "left_anti").unionByName(again)
+    else:
+        scratch.keep(signatures, many)
     return _one_stays(placed)
 
 
@@ -192,54 +214,60 @@ def _index_filter(many: DataFrame, bits: int) -> np.ndarray:
     return total
 
 
-def _verify(hits: DataFrame, many: DataFrame) -> DataFrame:
-    """Every row of a group against the bytes of the row that stays: (doc_id, key, same)."""
-    stay = hits.withColumn("keep_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).join(many, ["key", "keep_id"])
-    stay = stay.groupBy("key").agg(F.min("norm").alias("stay_norm"))
-    return hits.join(stay, "key").select("doc_id", "key", F.expr("norm = stay_norm").alias("same"))
+def _verify(hits: DataFrame) -> DataFrame:
+    """hits(doc_id, key, norm, keep_id, group_size) -> (key, same): each row against the bytes of the row that stays.
+    A group's rows are dealt over pieces, each with a copy of the text that stays."""
+    pieces = F.ceil(F.col("group_size") / VERIFY_ROWS)
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    stay = hits.filter(own == F.col("keep_id")).groupBy("key", "group_size").agg(F.min("norm").alias("stay_norm"))
+    stay = stay.select("key", "stay_norm", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"))
+    dealt = hits.withColumn("piece", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), pieces))
+    return dealt.join(stay, ["key", "piece"]).select("key", F.expr("norm = stay_norm").alias("same"))
 
 
 def _regroup(keyed: DataFrame) -> DataFrame:
     """Rows of digests that more than one text has, by whole text."""
     rows = keyed.select(
-        "doc_id", "key", "text_sha256", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "norm",
+        "doc_id", "key", "text_sha256", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "norm", _sign(F.col("text")).alias("sign"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
     )
     groups = rows.groupBy("norm").agg(
         F.min(F.struct((-F.col("n_chars")).alias("c"), "id")).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
-    return rows.join(groups, "norm").select("doc_id", "key", "text_sha256", "n_chars", F.col("best.id").alias("keep_id"), "group_size")
+    return rows.join(groups, "norm").select("doc_id", "key", "text_sha256", "n_chars", "sign", F.col("best.id").alias("keep_id"), "group_size")
 
 
 def _one_stays(placed: DataFrame) -> DataFrame:
     is_best = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) == F.col("keep_id")
     # Rows that share their doc_id with the one that stays: almost always just that row.
     ranked = placed.filter(is_best & (F.col("group_size") > 1)).withColumn(
-        "kept", F.row_number().over(Window.partitionBy("text_sha256", "keep_id").orderBy(F.desc("n_chars"))) == 1
+        "kept", F.row_number().over(Window.partitionBy("text_sha256", "keep_id").orderBy(F.desc("n_chars"), "sign")) == 1
     )
     rest = placed.filter(~is_best | (F.col("group_size") == 1)).withColumn("kept", is_best)
     return ranked.unionByName(rest).select(
-        "doc_id", F.when(F.col("keep_id") != LAST_ID, F.col("keep_id")).alias("keep_id"), "group_size", "kept", "text_sha256", "n_chars"
+        "doc_id", F.when(F.col("keep_id") != LAST_ID, F.col("keep_id")).alias("keep_id"), "group_size", "kept", "text_sha256", "n_chars", "sign"
     )
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with their columns."""
-    # Rows that share doc_id, digest and length with the one that stays are found along with it; of those one stays.
-    rows = exact_dedup(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_chars"))
-    kept = written(rows.agg(F.max("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("repeated")).filter("kept").drop("kept"), "kept")
-    signed = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256)).withColumn("_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
-
-    def of(kept: DataFrame, n: int) -> DataFrame:
-        return signed.join(
-            small_side(kept, n, 120), signed["doc_id"].eqNullSafe(kept["_id"]) & (signed["_sha"] == kept["_sha"]) & (signed["_chars"] == kept["_chars"]), "left_semi"
-        )
-
-    n, n_repeated = kept.count(), kept.filter("repeated").count()
-    out = of(kept.filter("NOT repeated"), n - n_repeated)
-    if n_repeated:
-        out = out.unionByName(of(kept.filter("repeated"), n_repeated).dropDuplicates(["doc_id", "_sha", "_chars"]))
-    return out.drop("_sha", "_chars")
+    """The rows of docs that exact_dedup keeps, with their columns.
+
+    A row is found again by its doc_id and text. The few that go are joined
+    against all rows, so as long as they fit a broadcast of checked size no
+    text is moved, and beyond it each is moved once.
+    """
+    scratch = Scratch(docs.sparkSession)
+    the_id, the_sign, n_rows = unused(docs, "id", "sign", "n")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    rows = _deduplicated(docs).groupBy(own.alias(the_id), F.col("sign").alias(the_sign)).agg(F.count(F.lit(1)).alias(n_rows), F.count_if("kept").alias("n_kept"))
+    changed = scratch.written(rows.filter(F.col("n_kept") < F.col(n_rows)), "changed")
+    n, n_some = changed.count(), changed.filter("n_kept > 0").count()
+    signed = docs.withColumns({the_id: own, the_sign: _sign(F.col("text"))})
+    out = signed.join(small_side(changed.select(the_id, the_sign), n, 72), [the_id, the_sign], "left_anti")
+    if n_some:  # rows that repeat both doc_id and text
+        some = changed.filter("n_kept > 0").select(the_id, the_sign)
+        out = out.unionByName(signed.join(small_side(some, n_some, 72), [the_id, the_sign], "left_semi").dropDuplicates([the_id, the_sign]))
+    return out.select(*docs.columns)
 
 
 SQL = r"""
