@@ -19,7 +19,8 @@ Defined results: a null text has size 0 and is neither taken nor dropped by
 weight (it is copied as its source's ratio says, at no words); a null source
 is a source, last in order; rows repeated with their doc_id, source and size
 are one document with that many rows, rounded together (each row gets an equal
-share); an empty table gives an empty result.
+share); an empty table gives an empty result; extra columns are ignored by mix
+and kept, whatever their names, by repeat_rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import n_words, written
+from .shared import Scratch, n_words, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -97,6 +98,8 @@ def _round_groups(rows: DataFrame, level: int, seed: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 20, group: int = GROUP) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, source, size, source_size, target, copies, taken; one row per row of docs."""
+    scratch = Scratch(docs.sparkSession)
+    written = scratch.written
     rows = written(
         docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
         .groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n_rows")),
@@ -132,6 +135,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
         left = over.join(per, over["source"].eqNullSafe(per["_source"])).select(
             "source", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "key"), F.col("groups")).alias("grp"), "key", "mass", "p", "groups"
         )
+    scratch.keep(rated, *settled)
     fraction = settled[0].select("source", "key", F.col("p").alias("p0"))
     for i, higher in enumerate(settled[1:], 1):
         h = higher.select(F.col("source").alias("_source"), F.col("key").alias("_key"), F.col("p").alias(f"p{i}"))
@@ -149,20 +153,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
 
 
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it."""
-    mixed = written(mix(docs, **options), "mix")
+    """docs with each row repeated as often as the mix takes it.
+
+    Nearly every row has a copy number of its own, so texts meet their numbers
+    in one shuffle join, whatever the size.
+    """
+    scratch = Scratch(docs.sparkSession)
+    size, copies, the_id, the_source, place, turn = unused(docs, "size", "copies", "the_id", "the_source", "place", "turn")
+    mixed = mix(docs.select("doc_id", "text", "source"), **options)
     # A document's rows are alike in all that counts here, so its copies are dealt over them by order.
-    size = n_words(F.col("text"))
-    per = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
-        F.sort_array(F.collect_list("copies"), asc=False).alias("_copies")
+    per = scratch.written(
+        mixed.groupBy(F.col("doc_id").alias(the_id), F.col("source").alias(the_source), F.col("size").alias(size)).agg(
+            F.sort_array(F.collect_list("copies"), asc=False).alias(copies)
+        ),
+        "mix",
     )
-    rows = docs.withColumn("_n", size)
-    joined = rows.join(per, rows["doc_id"].eqNullSafe(per["_id"]) & rows["source"].eqNullSafe(per["_source"]) & (rows["_n"] == per["_size"]))
-    one = joined.filter(F.size("_copies") == 1).withColumn("_c", F.col("_copies")[0])
-    many = joined.filter(F.size("_copies") > 1)
-    place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("text"))
-    many = many.withColumn("_c", F.element_at("_copies", place))
-    out = one.unionByName(many).filter("_c > 0")
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_c"))).select(*docs.columns)
-
-
+    rows = docs.withColumn(size, n_words(F.col("text")))
+    joined = rows.join(per.withColumnRenamed(size, f"{size}_").hint("merge"), F.col("doc_id").eqNullSafe(F.col(the_id)) & F.col("source").eqNullSafe(F.col(the_source)) & (F.col(size) == F.col(f"{size}_")))
+    one = joined.filter(F.size(copies) == 1).withColumn(turn, F.col(copies)[0])
+    out = one
+    if per.filter(F.size(copies) > 1).limit(1).count():
+        number = F.row_number().over(Window.partitionBy(the_id, the_source, size).orderBy("text"))
+        several = joined.filter(F.size(copies) > 1).withColumn(place, number)
+        out = one.unionByName(several.withColumn(turn, F.element_at(copies, F.col(place))).drop(place))
+    out = out.filter(F.col(turn) > 0)
+    return out.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), turn))).select(*docs.columns)
