@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from quaero.llm import chat, exact_dedup, mixing, near_dedup, ordinal, piece_tokens, quality_rules, token_store, url_rules, warc
 
@@ -66,8 +67,25 @@ def test_exact_dedup(table, digest_bytes):
     assert Counter(tuple(r[c] for c in cols) for r in got.collect()) == Counter(con.sql(f"SELECT {', '.join(cols)} FROM ({exact_dedup.SQL})").fetchall())
 
 
-def test_exact_dedup_keeps_one_of_repeated_rows(table):
-    assert exact_dedup.keep_first_copies(table).filter("doc_id = 6").count() <= 1
+CLASHES = ["_id", "_sign", "_sha", "_chars", "_n", "_t", "_w", "row", "n", "size", "copies", "sign", "n_words", "kept", "component", "_copies", "n_kept", "n_stay", "the_id", "place", "turn", "bad", "_bad", "tokens"]
+
+
+@pytest.mark.parametrize("stage", [quality_rules.keep_good, exact_dedup.keep_first_copies, near_dedup.keep_one_of_each, mixing.repeat_rows])
+def test_stages_keep_columns_with_any_name(spark, stage):
+    rows = [(i, prose(200, i).replace(" a", ". A") + ".", f"s{i % 3}") for i in range(30)]
+    docs = documents(spark, rows).select("doc_id", "text", "source", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in CLASHES])
+    out = stage(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in CLASHES)
+
+
+@pytest.mark.parametrize("group", [1000])
+def test_verification_deals_a_large_group(spark, group):
+    rows = [(i, "same  text" if i % 2 else "same text") for i in range(group)] + [(5000 + i, f"own {i}") for i in range(50)]
+    got = exact_dedup.exact_dedup(documents(spark, rows)).collect()
+    assert {r["keep_id"] for r in got if r["doc_id"] < 5000} == {1} and sum(r["kept"] for r in got) == 51
+    assert all(r["group_size"] == (group if r["doc_id"] < 5000 else 1) for r in got)
 
 
 def test_exact_dedup_keeps_the_repeated_row_that_is_first(spark):
@@ -105,14 +123,32 @@ def test_quality_rules(spark):
     assert all(got[i]["kept"] for i in range(40)) and not any(got[i]["kept"] for i in range(100, 105))
 
 
-def test_estimate_finds_better_rules():
+def test_estimate_recovers_planted_rates():
     r = random.Random(3)
+    on_bad, on_good, share = (0.9, 0.7, 0.5, 0.4), (0.002, 0.01, 0.03, 0.08), 0.8
     patterns = Counter()
-    for _ in range(20000):
-        good = r.random() < 0.8
-        patterns[tuple((-1 if r.random() < (0.003 if good else p) else 1) for p in (0.9, 0.6, 0.35))] += 1
+    for _ in range(40000):
+        good = r.random() < share
+        patterns[tuple((-1 if r.random() < (g if good else b) else 1) if r.random() < 0.9 else 0 for g, b in zip(on_good, on_bad))] += 1
     fit = quality_rules.estimate(dict(patterns))
-    assert fit["bad_on_bad"][0] > fit["bad_on_bad"][1] > fit["bad_on_bad"][2] and abs(fit["good"] - 0.8) < 0.08
+    assert abs(fit["good"] - share) < 0.02
+    assert all(abs(x - y) < 0.03 for x, y in zip(fit["bad_on_bad"] + fit["bad_on_good"], on_bad + on_good))
+    p = lambda *votes: quality_rules.posterior(votes, fit["good"], fit["bad_on_good"], fit["bad_on_bad"])
+    assert p(1, 1, 1, -1) > 0.9 > 0.5 > p(-1, 1, 1, 1)  # a poor rule's bad vote is outvoted, a good one's is not
+    assert p(1, 1, -1, 1) > 0.8 > 0.2 > p(1, -1, -1, -1)
+
+
+def test_estimate_equals_em_by_hand():
+    """The rates are a fixed point: recomputed from the posteriors they stay what they are."""
+    r = random.Random(11)
+    patterns = Counter(tuple(r.choices((-1, 0, 1), (1, 2, 12), k=5)) if r.random() < 0.7 else tuple(r.choices((-1, 1), (2, 1), k=5)) for _ in range(5000))
+    fit = quality_rules.estimate(dict(patterns), rounds=5000)
+    chance = {v: quality_rules.posterior(v, fit["good"], fit["bad_on_good"], fit["bad_on_bad"]) for v in patterns}
+    assert abs((sum(n * chance[v] for v, n in patterns.items()) + 1) / (5000 + 2) - fit["good"]) < 1e-6
+    for j in range(5):
+        cast = sum(n * (1 - chance[v]) for v, n in patterns.items() if v[j])
+        bad = sum(n * (1 - chance[v]) for v, n in patterns.items() if v[j] < 0)
+        assert abs((bad + 1) / (cast + 2) - fit["bad_on_bad"][j]) < 1e-6
 
 
 def test_mixing(spark):
@@ -145,13 +181,18 @@ def test_mixing(spark):
     assert mixing.repeat_rows(docs).count() == got["copies"].sum()
 
 
+def fill(doc_id):
+    """A null doc_id comes after every other."""
+    return (1 << 63) - 1 if doc_id is None else doc_id
+
+
 def brute_components(rows, size, percent):
     sets = []
     for _, text in rows:
         w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
         w = [x for x in WS.split(w) if x]
         sets.append(set(zip(*[w[k:] for k in range(size)])) if len(w) >= size else {tuple(w)} if w else set())
-    low = [r[0] if r[0] is not None else -(1 << 63) for r in rows]
+    low = [fill(r[0]) for r in rows]
     comp = list(low)
     changed = True
     while changed:
@@ -170,8 +211,18 @@ def test_near_dedup(spark, size, percent):
     short = prose(12, 77).split(" ")
     rows += [(300 + i, " ".join(short[: 6 + i])) for i in range(6)] + [(400 + i, " ".join(short) + " t%d" % i) for i in range(30)]
     got = near_dedup.near_components(documents(spark, rows), size, percent).collect()
-    fill = lambda x: -(1 << 63) if x is None else x
     assert Counter((fill(r["doc_id"]), r["n_shingles"], fill(r["component_id"])) for r in got) == brute_components(rows, size, percent)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
+
+
+def test_buckets_of_more_than_one_block(spark, monkeypatch):
+    # Blocks of eight: components with blocks of their own, meetings of several blocks, clusters.
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 2000)
+    rows = [(i, near(BASE, r, 500 + i)) for i, r in enumerate([4] * 40 + [9] * 40 + [14] * 40)]
+    rows += [(200 + i, near(near(BASE, 10, 700 + i % 4), 3, 800 + i)) for i in range(40)]
+    got = near_dedup.near_components(documents(spark, rows), 3, 85).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 3, 85)
 
 
 def test_near_dedup_keeps_texts_without_ids_of_their_own_apart(spark):
@@ -180,15 +231,15 @@ def test_near_dedup_keeps_texts_without_ids_of_their_own_apart(spark):
             (9, far[4]), (9, far[4]), (9, far[5]), (10, ""), (10, None), (10, far[6]), (11, near(far[6], 2, 3)), (6, near(far[1], 2, 4))]
     docs = documents(spark, rows)
     got = near_dedup.near_components(docs).collect()
-    fill = lambda x: -(1 << 63) if x is None else x
     assert Counter((fill(r["doc_id"]), r["n_shingles"], fill(r["component_id"])) for r in got) == brute_components(rows, 5, 80)
     kept = near_dedup.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     left = Counter((r["doc_id"], (r["text"] or "").strip()) for r in kept.collect())
     third = [x for x in left if x[1] in (far[3], near(far[3], 2, 1))]
     assert len(third) == 1 and left.pop(third[0]) == 1
-    assert left == Counter({(None, far[0]): 1, (None, far[1]): 1, (None, ""): 2, (7, far[2]): 1, (9, far[4]): 1, (9, far[5]): 1, (10, ""): 1, (10, far[6]): 1})
-    assert sum(r["kept"] for r in got) == kept.count()
+    assert left == Counter({(None, far[0]): 1, (6, near(far[1], 2, 4)): 1, (None, ""): 2, (7, far[2]): 1, (9, far[4]): 1, (9, far[5]): 1, (10, ""): 2, (10, far[6]): 1})
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
+    assert sum(r["kept"] for r in got if r["doc_id"] is None) == 3  # one far[0] and the two without words
 
 
 def test_hypermin_estimate():
