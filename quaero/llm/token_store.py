@@ -27,6 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,11 +37,15 @@ from .files import RangeReader, open_fs, whole_file
 from .shared import NULL_ID, new_path, node_id, shuffle_partitions, written
 
 BUCKET_KEYS = 50_000
-REMEMBERED = 300_000
-GROUP_BYTES = 1 << 19
+#: Bytes of each of two generations of remembered words.
+REMEMBERED_BYTES = 64 << 20
+GROUP_BYTES = 1 << 21
 #: A word that ends in a letter and these is the letter's pre-token and then theirs.
 CLOSING = b".,;:!?|)"
 MAGIC = b"QMPH0001"
+#: The pre-tokenizer's pattern and the normaliser that the shortcuts below are right for.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 # ---------------------------------------------------------------- encoding
 
@@ -62,61 +68,97 @@ class WordEncoder:
         splits = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
         if not splits or splits[0]["behavior"] != "Removed" or not splits[0]["invert"] or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("wants a tokenizer that drops white space between words")
+        if splits[0]["pattern"] != {"Regex": SPLIT} or (spec["normalizer"] or {}).get("normalizers") != NORMALIZERS:
+            raise ValueError("wants a normaliser to NFC and lower case, and runs of letters as pre-tokens")
+        self.special = [t["content"][:2].encode() for t in spec["added_tokens"]]
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # the generation before; what is used again moves on
+        self.held = 0
 
     def pack(self, ids) -> bytes:
         return np.asarray(ids, dtype=self.dtype).tobytes()
 
+    def lowered(self, text: bytes) -> bytes:
+        """text with A-Z in lower case, where that cannot change its ids: not beside combining marks, which
+        may compose with a small letter only, nor where special tokens may be spelt."""
+        if b"\xcc" in text or b"\xcd" in text or any(x in text for x in self.special):
+            return text
+        return text.lower()
+
+    def ask(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each word, from the library. Words of letters alone are one pre-token each, so
+        they are sent as one text and told apart by the number of the pre-token."""
+        texts = [w.decode() for w in words]
+        out: list[bytes | None] = [None] * len(words)
+        plain = [i for i, x in enumerate(texts) if x.isalpha()]
+        if plain:
+            got = self.tokenizer.encode(" ".join([texts[i] for i in plain]), add_special_tokens=False)
+            of = np.array(got.word_ids, np.int64)
+            ends = np.flatnonzero(np.diff(of, append=-2)) + 1
+            if len(ends) == len(plain):  # else a letter's lower case is more than letters
+                raw, width = self.pack(got.ids), self.dtype.itemsize
+                start = 0
+                for i, end in zip(plain, (ends * width).tolist(), strict=True):
+                    out[i] = raw[start:end]
+                    start = end
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = self.pack(e.ids)
+        return out
+
     def learn(self, words: set[bytes]) -> None:
-        """Puts words into the memo. Capitals of ASCII words and closing signs are split off first, so
-        that the library sees each stem once; a special token's text is left as it is."""
+        """Puts words into the memo. Closing signs are split off first, so that the library sees each stem once."""
         memo, older = self.memo, self.older
+        for w in words & older.keys():
+            memo[w] = older[w]
         split: list[tuple[bytes, bytes, bytes]] = []
         ask: set[bytes] = set()
-        for w in words:
-            known = older.get(w)
-            if known is not None:
-                memo[w] = known
-                continue
-            low = w.lower() if w.isascii() and b"<|" not in w else w
-            stem = low.rstrip(CLOSING)
-            if not stem or not stem[-1:].isalpha():
-                stem = low
-            split.append((w, stem, low[len(stem) :]))
-            ask.add(stem)
-            ask.add(low[len(stem) :])
-        ask = {x for x in ask if x not in memo}
-        for x in [x for x in ask if x in older]:
+        for w in words.difference(memo):
+            stem = w.rstrip(CLOSING)
+            if len(stem) == len(w) or not stem[-1:].isalpha():
+                ask.add(w)
+            else:
+                split.append((w, stem, w[len(stem) :]))
+        ask.update([x[1] for x in split], [x[2] for x in split])
+        for x in ask & older.keys():
             memo[x] = older[x]
-            ask.discard(x)
-        new = list(ask)
-        for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
-            memo[x] = self.pack(e.ids)
+        new = list(ask.difference(memo))
+        memo.update(zip(new, self.ask(new), strict=True))
         for w, stem, tail in split:
             memo[w] = memo[stem] + memo[tail]
+        # Two bytes objects of 33 bytes and their contents, and a share of the table.
+        self.held += 2 * sum(map(len, words)) + 150 * len(words)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The packed ids of each text (UTF-8)."""
-        out = []
-        group: list[list[bytes]] = []
-        size = 0
-        for i, text in enumerate(texts):
-            group.append(text.split())
-            size += len(text)
-            if size < GROUP_BYTES and i + 1 < len(texts):
-                continue
-            if len(self.memo) > REMEMBERED:
-                self.older, self.memo = self.memo, {}
-            memo = self.memo
-            new = {w for words in group for w in words if w not in memo}
-            if new:
-                self.learn(new)
-            out += [b"".join(map(memo.__getitem__, words)) for words in group]
-            group, size = [], 0
-        return out
+        """The packed ids of each text (UTF-8): its words are numbered, each number's ids looked up once
+        and gathered by number."""
+        if self.held > REMEMBERED_BYTES:
+            self.older, self.memo, self.held = self.memo, {}, 0
+        split = pc.ascii_split_whitespace(pa.array([self.lowered(x) for x in texts], pa.string()))
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.cast(pa.binary()).to_pylist()
+        memo = self.memo
+        memo[b""] = b""
+        new = set(words).difference(memo)
+        if new:
+            self.learn(new)
+        parts = list(map(memo.__getitem__, words))
+        for w in [w for w in new if len(w) > 256]:  # not worth remembering
+            stem = w.rstrip(CLOSING)
+            for x in (w, stem, w[len(stem) :]):
+                memo.pop(x, None)
+        ids = np.frombuffer(b"".join(parts), self.dtype)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        at = numbered.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - starts[at], n)
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        out = ids[place]
+        return [out[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -247,16 +289,13 @@ def encoded(enc: WordEncoder, texts) -> Iterator[bytes]:
     held: list[bytes] = []
     size = 0
     for text in texts:
-        held.append(text.encode())
+        held.append(text.as_buffer().to_pybytes())
         size += len(held[-1])
         if size >= GROUP_BYTES:
             yield from enc.encode(held)
             held, size = [], 0
-    yield from enc.encode(held)
-
-
-def _int_ids(ids: pd.Series) -> list:
-    return ids.to_numpy(np.int64)
+    if held:
+        yield from enc.encode(held)
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, path: str | None = None) -> tuple[str, DataFrame]:
@@ -264,15 +303,15 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, pa
     spark = docs.sparkSession
     path = path or new_path(spark, "token-store")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(tokenizer_path)
         end = b"" if end_id is None else enc.pack([end_id])
         shard, at = TaskContext.get().partitionId(), 0
         before, nth = None, 0
         with whole_file(f"{path}/shard-{shard:06d}.ids") as f:
-            for pdf in batches:
+            for batch in batches:
                 rows = []
-                for key, raw in zip(_int_ids(pdf["id"]), encoded(enc, pdf["text"]), strict=True):
+                for key, raw in zip(batch.column("id").to_pylist(), encoded(enc, batch.column("text")), strict=True):
                     raw += end
                     f.write(raw)
                     nth = nth + 1 if key == before else 0
@@ -280,11 +319,13 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, pa
                     n = len(raw) // enc.dtype.itemsize
                     rows.append((key, nth, shard, at, n))
                     at += n
-                yield pd.DataFrame(rows, columns=["id", "nth", "shard", "offset", "n_ids"])
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)] if rows else []
+                if rows:
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "nth", "shard", "offset", "n_ids"])
 
     rows = docs.select(node_id(F.col("doc_id")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     placed = written(
-        rows.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "text").mapInPandas(write, "id long, nth long, shard int, offset long, n_ids long"),
+        rows.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "text").mapInArrow(write, "id long, nth long, shard int, offset long, n_ids long"),
         "places",
     )
     buckets = max(1, -(-placed.count() // BUCKET_KEYS))
