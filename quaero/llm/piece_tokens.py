@@ -4,8 +4,9 @@ Encoding is exact without running merges over the text. An Aho-Corasick
 automaton gives the longest vocabulary piece at a place; the piece may follow
 the one before it only if the two, joined and merged afresh, come out as these
 two again (such verdicts are remembered); otherwise the next shorter piece is
-tried, and where none is left the last piece is taken back. A bitfield holds
-the places from which no valid ending was found, so no place is tried twice.
+tried, and where none is left the last piece is taken back. A field of one mark
+a place holds those from which no valid ending was found, so no place is tried
+twice and the work grows with the length of the word.
 
 White space becomes the mark U+2581, and no piece has a mark after another
 character, so merging never crosses the start of a run of marks: a text is the
@@ -27,13 +28,16 @@ import heapq
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Letters and digits with the marks before them, other characters, or marks alone.
 CHUNKS = re.compile(f"{MARK}*\\w+|[^\\w{MARK}]+|{MARK}+")
-REMEMBERED = 500_000
+#: Entries of each of the two tables, of some 200 bytes.
+REMEMBERED = 200_000
+#: Rows whose results are held at once.
+SLICE = 256
 NEVER = float("-inf")
 LONGEST_REMEMBERED = 64
 
@@ -64,6 +68,7 @@ class PieceEncoder:
         self.end_id = proto.trainer_spec.eos_id
         self.id_of = {p.piece: i for i, p in plain}
         self.score = {p.piece: p.score for _, p in plain}
+        self.digits = [str(i) for i in range(len(proto.pieces))]
         self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds["BYTE"]}
         # Only pieces that merging makes out of their own characters can come up.
         self.automaton = ahocorasick.Automaton()
@@ -139,14 +144,14 @@ class PieceEncoder:
     def backtrack(self, word: str) -> list[str]:
         best = self.longest_at(word)
         n = len(word)
-        open_places = (1 << (n + 1)) - 1  # bit i: an ending from place i was not ruled out
+        closed = bytearray(n + 1)  # 1: no valid ending from this place
         out: list[str] = []
         at = 0
         piece: str | None = best[0]
         known, shorter, last = self.fits_memo.get, self.shorter.get, ""
         while at < n:
             while piece is not None:
-                if open_places >> at + len(piece) & 1:
+                if not closed[at + len(piece)]:
                     if not out:
                         break
                     fit = known((last, piece))
@@ -156,7 +161,7 @@ class PieceEncoder:
             if piece is None:
                 if not out:
                     raise ValueError("no valid sequence of pieces")
-                open_places &= ~(1 << at)
+                closed[at] = 1
                 taken = out.pop()
                 at -= len(taken)
                 piece = shorter(taken)
@@ -245,22 +250,32 @@ def encoder(model_path: str) -> PieceEncoder:
 def piece_tokens(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids (with the end id), decoded, and their digests."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model_path)
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                ids = e.encode(text or "")
-                ids.append(e.end_id)
-                decoded = e.decode(ids)
-                row = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append((*row, ids, decoded) if with_ids else row)
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids)
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            yield out
+        digits = e.digits.__getitem__
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                n, id_digests, text_digests, all_ids, texts = [], [], [], [], []
+                for text in part.column("text"):
+                    ids = e.encode(text.as_py() or "")
+                    ids.append(e.end_id)
+                    decoded = e.decode(ids)
+                    n.append(len(ids))
+                    id_digests.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
+                    text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if with_ids:
+                        all_ids.append(ids)
+                        texts.append(decoded)
+                columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
+                if with_ids:
+                    columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return _whole_ids(docs).mapInPandas(run, schema)
+    return _whole_ids(docs).mapInArrow(run, schema)
 
 
 def _whole_ids(docs: DataFrame) -> DataFrame:
