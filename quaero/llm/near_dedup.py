@@ -59,7 +59,7 @@ from .shared import Scratch, connected_components, shuffle_partitions, small_sid
 BUCKETS_LOG2, MANTISSA = 7, 10
 REGISTERS = 1 << BUCKETS_LOG2
 BANDS, BAND_ROWS = 25, 5
-BLOCK = 1024
+BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
 PAIR_GROUP = 256
 REMEMBERED_BYTES = 48 << 20
@@ -379,7 +379,7 @@ def _forest(apart: DataFrame, nodes: DataFrame, t: float, scratch: Scratch) -> D
             return []
         n = len(task.ids)
         weights = np.full((len(comps), len(comps)), -1, np.float32)
-        pairs = np.zeros((len(comps), len(comps)), np.int64)
+        pairs = np.zeros((len(comps), len(comps)), np.int32 if n < 46_000 else np.int64)
         for i in task.left:
             among, est = task.candidates(i, task.right[at[task.right] != at[i]], t)
             if len(among):
@@ -387,9 +387,8 @@ def _forest(apart: DataFrame, nodes: DataFrame, t: float, scratch: Scratch) -> D
                 among, est, row = among[order], est[order].astype(np.float32), at[i]
                 more = est > weights[row, at[among]]
                 col = at[among[more]]
-                weights[row, col], pairs[row, col] = est[more], i * n + among[more]  # the last of several is the best
-        flip = weights.T > weights
-        weights, pairs = np.where(flip, weights.T, weights), np.where(flip, pairs.T, pairs)
+                for cell in ((row, col), (col, row)):  # the last of several is the best
+                    weights[cell], pairs[cell] = est[more], i * n + among[more]
         out = []
         for x, y in _spanning(weights):
             i, j = divmod(int(pairs[x, y]), n)

@@ -35,7 +35,7 @@ MARK = "▁"
 #: Letters and digits with the marks before them, other characters, or marks alone.
 CHUNKS = re.compile(f"{MARK}*\\w+|[^\\w{MARK}]+|{MARK}+")
 #: Entries of each of the two tables, of some 200 bytes.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Rows whose results are held at once.
 SLICE = 256
 NEVER = float("-inf")
@@ -273,6 +273,8 @@ def piece_tokens(docs: DataFrame, model_path: str, with_ids: bool = True) -> Dat
                 if with_ids:
                     columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        e.memo.clear()  # the worker goes on to other tasks
+        e.fits_memo.clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     return _whole_ids(docs).mapInArrow(run, schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What is planned inside sends Python at most so many rows at a time: whole texts may be long, and two tasks of an
+    executor hold a batch each, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """The tables that one operator writes. What its result does not read is
     removed when the operator has planned it, so runs leave nothing behind but
@@ -57,7 +72,8 @@ class Scratch:
 
     def written(self, df: DataFrame, label: str) -> DataFrame:
         path = new_path(self.spark, label)
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((out, path))
         return out
