@@ -3,10 +3,14 @@
 A URL is a set of tokens: scheme, labels of the host, its registered ending,
 path segments (digits folded), file ending and query keys. Spark's FP-growth
 mines token combinations among labelled URLs, each transaction with its label;
-a combination is a rule if enough bad URLs have it (support) and most URLs that
-have it are bad (confidence), and if no smaller rule inside it is as sure. An
-inverted index, from a rule's rarest token to the rule, finds the rules that a
-URL can match; a match needs all of a rule's tokens.
+a combination is a rule if enough of the bad URLs have it (support, a share of
+the bad ones, so good URLs do not dilute it), if most URLs that have it are bad
+(confidence), if that is not chance (standard errors above the share of bad
+URLs), and if no smaller rule inside it is as sure. Tokens that always come
+together count as one while mining, so a fixed set of many tokens does not make
+all its subsets. An inverted index, from the token of a rule that fewest URLs
+have to the rule, finds the rules that a URL can match; a match needs all of a
+rule's tokens.
 
 Fixed rules for hosts and paths come first; the longest that fits decides.
 
@@ -23,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import Scratch
 
 #: (host, path, verdict); fits the host and its subdomains, and paths that start with path.
 FIXED_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -33,9 +37,10 @@ SCHEMA = "rule_id long, tokens array<string>, confidence double, support double,
 
 @dataclass(frozen=True)
 class Mining:
-    min_support: float = 0.01
+    min_support: float = 0.005  # of the bad URLs
+    min_bad: int = 5
     min_confidence: float = 0.8
-    min_lift: float = 1.5
+    min_errors: float = 3.0
 
 
 def host_of(url: Column) -> Column:
@@ -74,36 +79,48 @@ def tokens(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
-    """labelled(url, bad) -> rules (SCHEMA). Their number is bounded: each is in a share
-    min_support of the transactions, and a transaction of k tokens has 2 ** k combinations."""
+    """labelled(url, bad) -> rules (SCHEMA)."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
-    rows = written(labelled.select(tokens(F.col("url")).alias("items"), "bad").filter(F.size("items") > 0), "labelled-urls")
+    scratch = Scratch(spark)
+    rows = scratch.written(labelled.select(tokens(F.col("url")).alias("items"), "bad").filter(F.size("items") > 0).withColumn("row", F.monotonically_increasing_id()), "labelled-urls")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad")).first()
     if not total["bad"]:
         return spark.createDataFrame([], SCHEMA)
-    baskets = rows.select(F.when(F.col("bad"), F.array_append("items", BAD)).otherwise(F.col("items")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=how.min_support, minConfidence=how.min_confidence).fit(baskets)
-    # A rule must be surer than the share of bad URLs makes it anyway.
-    sure = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).filter(F.col("lift") >= how.min_lift)
-    rules = written(sure.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift"), "mined")
+    # Tokens of the same rows, by count and two sums of hashes: the first stands for all of them.
+    spread = rows.select("row", "bad", F.explode("items").alias("t"))
+    mark = lambda seed: F.sum(F.xxhash64("row", F.lit(seed)).cast("decimal(38,0)"))
+    kinds = spread.groupBy("t").agg(F.count(F.lit(1)).alias("c"), mark(1).alias("m1"), mark(2).alias("m2"))
+    classes = scratch.written(kinds.groupBy("c", "m1", "m2").agg(F.array_sort(F.collect_list("t")).alias("same")).select(F.col("same")[0].alias("t"), "same"), "token-classes")
+    baskets = spread.join(classes, "t").groupBy("row").agg(F.collect_list("t").alias("items"), F.first("bad").alias("bad"))
+    baskets = scratch.written(baskets.select(F.when(F.col("bad"), F.array_append("items", BAD)).otherwise(F.col("items")).alias("items")), "baskets")
+    support = max(how.min_bad, how.min_support * total["bad"]) / total["n"]
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=how.min_confidence).fit(baskets)
+    share, n = total["bad"] / total["n"], F.col("support") / F.col("confidence") * total["n"]
+    errors = (F.col("confidence") - share) * F.sqrt(n) / max(1e-9, (share * (1 - share)) ** 0.5)
+    sure = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).filter(errors >= how.min_errors if share < 1 else F.lit(True))
+    rules = scratch.written(sure.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift"), "mined")
     # Pruning: a rule goes if a rule on a part of its tokens is as sure.
     parts = rules.select("tokens", "confidence", F.explode("tokens").alias("t"))
     inside = rules.select(F.col("tokens").alias("less"), F.col("confidence").alias("c"), F.col("tokens")[0].alias("t"))
     covered = parts.join(inside, "t").filter((F.size("less") < F.size("tokens")) & (F.size(F.array_except("less", "tokens")) == 0) & (F.col("c") >= F.col("confidence")))
-    rules = rules.join(covered.select("tokens").distinct(), "tokens", "left_anti")
-    return written(rules.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support", "lift"), "rules")
+    rules = rules.join(covered.select("tokens").distinct(), "tokens", "left_anti").withColumn("rule_id", F.xxhash64("tokens"))
+    whole = rules.select("rule_id", F.explode("tokens").alias("t")).join(classes, "t").groupBy("rule_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("same")))).alias("tokens"))
+    out = scratch.written(rules.drop("tokens").join(whole, "rule_id").select("rule_id", "tokens", "confidence", "support", "lift"), "rules")
+    scratch.keep(out)
+    return out
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls(url), distinct -> url, rule_id of the surest rule that it matches."""
     one = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("t"))
-    # The index has each rule under the token that fewest rules share.
-    shared = one.groupBy("t").count()
-    keyed = one.join(shared, "t").groupBy("rule_id").agg(F.first("tokens").alias("tokens"), F.first("confidence").alias("confidence"), F.min(F.struct("count", "t")).alias("k"))
-    index = keyed.select("rule_id", F.col("tokens").alias("need"), "confidence", F.col("k.t").alias("t"))
     posted = urls.select("url", tokens(F.col("url")).alias("have")).select("url", "have", F.explode("have").alias("t"))
+    posted = posted.join(one.select("t").distinct(), "t", "left_semi")
+    # The index has each rule under the token that fewest URLs have.
+    often = posted.groupBy("t").agg(F.count(F.lit(1)).alias("often"))
+    keyed = one.join(often, "t", "left").groupBy("rule_id").agg(F.first("tokens").alias("tokens"), F.first("confidence").alias("confidence"), F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "t")).alias("k"))
+    index = keyed.select("rule_id", F.col("tokens").alias("need"), "confidence", F.col("k.t").alias("t"))
     hits = posted.join(index, "t").filter(F.size(F.array_except("need", "have")) == 0)
     return hits.groupBy("url").agg(F.max_by("rule_id", F.struct("confidence", "rule_id")).alias("rule_id"))
 
@@ -126,4 +143,5 @@ def labelled_urls(spark: SparkSession, pages: DataFrame, labels: DataFrame) -> D
     """A page is labelled by the row of labels with its number: bad if toxic or of no quality."""
     bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
     one = labels.groupBy("doc_id").agg(F.max(bad.cast("int")).alias("bad"))
-    return pages.join(one, pages["page_id"] == one["doc_id"]).select("url", (F.col("bad") == 1).alias("bad"))
+    urls = pages.select("page_id", "url")  # other columns may have any name
+    return urls.join(one, urls["page_id"] == one["doc_id"]).select("url", (F.col("bad") == 1).alias("bad"))

@@ -348,6 +348,33 @@ def test_url_rules(spark):
         ("spam.y.com", "/buy/1", None, "block"), ("b.org", "/fr/", "org/fr/", "allow"), ("example.com", "/de/z", "example.com/de/", "block")]
 
 
+def test_url_rules_equal_brute_force(spark):
+    """Every combination of tokens counted, the same tests, the same pruning, every URL against every rule."""
+    r = random.Random(21)
+    urls = [f"http{r.choice(['', 's'])}://{r.choice('abcd')}.{r.choice(['x', 'y', 'z'])}.com/{r.choice(['buy', 'read', 'p1', 'p22'])}/{i}" for i in range(600)]
+    urls += [f"http://rare.site.io/deep/down/{i}" for i in range(6)]  # 1 % of all, bad every time, tokens always together
+    is_bad = [("b.y" in u and "buy" in u) or "rare" in u or r.random() < 0.05 for u in urls]
+    how = url_rules.Mining()
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("bad", F.lit("clash"))
+    labelled = spark.createDataFrame(list(zip(urls, is_bad)), "url string, bad boolean")
+    sets = [frozenset(x["t"]) for x in labelled.select(url_rules.tokens(F.col("url")).alias("t")).collect()]
+    n, n_bad = len(urls), sum(is_bad)
+    seen, bad = Counter(), Counter()
+    for s, b in zip(sets, is_bad):
+        for k in range(1, len(s) + 1):
+            for c in itertools.combinations(sorted(s), k):
+                seen[frozenset(c)] += 1
+                bad[frozenset(c)] += b
+    share = n_bad / n
+    sure = {c: bad[c] / seen[c] for c in seen if bad[c] >= max(how.min_bad, how.min_support * n_bad) and bad[c] / seen[c] >= how.min_confidence
+            and (bad[c] / seen[c] - share) * seen[c] ** 0.5 / (share * (1 - share)) ** 0.5 >= how.min_errors}
+    want = [any(c <= s for c in sure) for s in sets]
+    got = {x["page_id"]: x for x in url_rules.judge(df, labelled).collect()}
+    assert [got[i]["mined_rule"] is not None for i in range(n)] == want and all(want[600:]) and not all(want)
+    rules = {frozenset(x["tokens"]): x["confidence"] for x in url_rules.mine(labelled).collect()}
+    assert all(abs(sure[c] - p) < 1e-9 for c, p in rules.items())
+
+
 def test_ordinal_ranks_grades(spark):
     r = random.Random(8)
     rows, labels = [], []
@@ -363,6 +390,31 @@ def test_ordinal_ranks_grades(spark):
     assert mean[0] + 0.3 < mean[1] < mean[2] - 0.3 and got[5000]["p_ge_1"] >= got[5000]["p_ge_2"]
 
 
+def test_cumulative_link_fit_is_the_maximum():
+    """Against a slow search: no small step along any weight or threshold raises the penalised likelihood."""
+    r = np.random.default_rng(5)
+    n, width = 300, 4
+    x = r.random((n, width)) < 0.4
+    y = np.clip((x @ np.array([1.5, -1.0, 0.0, 2.0]) + r.logistic(size=n) > 0.5).astype(int) + (x @ np.array([1.5, -1.0, 0.0, 2.0]) + r.logistic(size=n) > 2), 0, 2)
+    owner, column = np.nonzero(x)
+    w, cut = ordinal.fit_cumulative_link(owner, column, width, y, 3, rounds=4000, rate=0.02)
+
+    def loss(w, cut):
+        tail = 1 / (1 + np.exp(cut[None, :] - (x @ w)[:, None]))  # P(grade > j)
+        p = np.c_[np.ones(n), tail] - np.c_[tail, np.zeros(n)]
+        return np.log(p[np.arange(n), y]).mean() - 1e-3 * (w @ w)
+
+    best = loss(w, cut)
+    for step in (1e-2, -1e-2):
+        for i in range(width):
+            assert loss(w + step * (np.arange(width) == i), cut) <= best + 1e-7
+        for i in range(2):
+            assert loss(w, cut + step * (np.arange(2) == i)) <= best + 1e-7
+    model = ordinal.OrdinalModel(np.arange(width, dtype=np.uint32), w, cut)
+    z = model.score(np.array([0, 3], np.uint32))
+    assert abs(z - (w[0] + w[3])) < 1e-12 and np.allclose(model.tails([z])[0], 1 / (1 + np.exp(cut - z)))
+
+
 def test_chat(spark):
     rows = [(1, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(150)] + [(2, 0, None, None), (2, 0, "bob", "x"), (2, 0, "bob", "x"), (None, None, "user", "é")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
