@@ -24,10 +24,13 @@ def anchors(docs: DataFrame, key: str, text: str = "text", patterns: dict[str, s
     out = None
     for ord_, (form, p) in enumerate(patterns.items()):
         found = docs.select(key, F.split(text, p, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("raws")).filter(F.size("raws") > 0)
-        starts = F.expr(
-            "transform(raws, (r, i) -> named_struct('raw', r, 'start', "
-            "aggregate(slice(gaps, 1, i + 1), 0, (a, g) -> a + length(g)) + aggregate(slice(raws, 1, i), 0, (a, g) -> a + length(g))))"
+        # One pass with a running offset: a match starts where the gap before it ends.
+        step = lambda s, x: F.struct(
+            (s["at"] + F.length(x["gap"]) + F.length(x["raw"])).alias("at"),
+            F.array_append(s["out"], F.struct(x["raw"].alias("raw"), (s["at"] + F.length(x["gap"])).alias("start"))).alias("out"),
         )
+        pairs = F.zip_with("raws", F.slice("gaps", F.lit(1), F.size("raws")), lambda r, g: F.struct(r.alias("raw"), g.alias("gap")))
+        starts = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<raw:string,start:int>>").alias("out")), step, lambda s: s["out"])
         one = found.select(key, F.lit(form).alias("form"), F.lit(ord_).alias("form_ord"), F.explode(starts).alias("m")).select(
             key, "form", "form_ord", "m.raw", "m.start", (F.col("m.start") + F.length("m.raw")).alias("end")
         )
@@ -51,6 +54,7 @@ def merge_adjacent(found: DataFrame, docs: DataFrame, key: str, text: str = "tex
     )
 
 
+#: Fixed value: a reference to a statute, its section and act.
 PROVISION = r"(?:Section|Sections|§|§§)\s*([0-9]+[A-Z]?(?:\([0-9a-z]+\))*)\s*(?:of\s+(?:the\s+)?)?([A-Z][A-Za-z,'’\s]{2,60}?(?:Act|Code)(?:,\s*[0-9]{4})?|IBC|ICA|CrPC|CPC|SARFAESI)?"
 
 

@@ -30,8 +30,9 @@ def both_directions(edges: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def expand(edges: DataFrame, start: str, depth: int, types: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Breadth-first from start: nodes(case_id, hop, pos) and edges(a, b, type, edge_id, hop, pos, edge_ord).
+def expand(edges: DataFrame, start: str, depth: int, types: tuple[str, ...] = (), cases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first from start: nodes(case_id, hop) and edges(a, b, type, edge_id). With cases(case_id), a start that is
+    none of them has an empty graph.
 
     Order is part of the result: cases of a hop in the order they were met,
     their edges by edge_ord; of edges with the same ends and type the first
@@ -44,6 +45,8 @@ def expand(edges: DataFrame, start: str, depth: int, types: tuple[str, ...] = ()
     spark = edges.sparkSession
     # A start that no edge touches is still a node.
     frontier = nodes = spark.createDataFrame([(start, 0, [])], "case_id string, hop int, pos array<long>")
+    if cases is not None:
+        frontier = nodes = frontier.join(cases.select("case_id"), "case_id", "left_semi")
     met = None
     for hop in range(depth):
         step = frontier.select("case_id", "pos").join(seen, "case_id").select(
@@ -65,17 +68,16 @@ def expand(edges: DataFrame, start: str, depth: int, types: tuple[str, ...] = ()
     return nodes.select("case_id", "hop"), kept.select("a", "b", "type", "edge_id")
 
 
-def chain(edges: DataFrame, start: str, max_rounds: int = 50) -> DataFrame:
-    """case_id of all that procedural edges, in either direction, join to start."""
+def chain(edges: DataFrame, start: str) -> DataFrame:
+    """case_id of all that procedural edges, in either direction, join to start; a round for each hop, until none is new."""
     links = edges.filter(F.col("type").isin(*PROCEDURAL))
     both = links.select(F.col("src").alias("x"), F.col("dst").alias("y")).unionByName(links.select(F.col("dst").alias("x"), F.col("src").alias("y"))).distinct()
     found = frontier = edges.sparkSession.createDataFrame([(start,)], "case_id string")
-    for _ in range(max_rounds):
+    while True:
         new = both.join(frontier, F.col("x") == F.col("case_id")).select(F.col("y").alias("case_id")).distinct().join(found, "case_id", "left_anti").checkpoint()
         if not new.limit(1).count():
             return found
         found, frontier = found.unionByName(new), new
-    raise RuntimeError("the chain is longer than max_rounds")
 
 
 def timeline(cases: DataFrame, edges: DataFrame, start: str) -> DataFrame:

@@ -283,6 +283,7 @@ def search_browse(spark, d):
 
 # ---------------------------------------------------------------- verification
 
+# The statuses in order of severity and their base scores.
 _STATUS = ("NO_AUTHORITATIVE_MATCH", "METADATA_MISMATCH", "PARAGRAPH_MISMATCH", "WEAK_PROPOSITION_SUPPORT", "NEEDS_REVIEW", "VERIFIED")
 _BASE = {"VERIFIED": 0.94, "METADATA_MISMATCH": 0.38, "PARAGRAPH_MISMATCH": 0.42, "WEAK_PROPOSITION_SUPPORT": 0.55, "NO_AUTHORITATIVE_MATCH": 0.05, "NEEDS_REVIEW": 0.6}
 
@@ -343,18 +344,19 @@ def metadata_year(spark, d):
 
 # ---------------------------------------------------------------- graph (J6-J9, A16), dossier (J5), board (A12, B2), limiter
 
-_EDGES = "SELECT DISTINCT l_suppkey % 97 AS src, l_partkey % 89 + 100 AS dst, CASE l_linenumber % 3 WHEN 0 THEN 'CITES' WHEN 1 THEN 'FOLLOWS' ELSE 'AFFIRMS' END AS type FROM lineitem"
+_EDGES = "SELECT DISTINCT 's' || CAST(l_suppkey AS VARCHAR) AS src, 'p' || CAST(l_partkey AS VARCHAR) AS dst, CASE l_linenumber % 3 WHEN 0 THEN 'CITES' WHEN 1 THEN 'FOLLOWS' ELSE 'AFFIRMS' END AS type FROM lineitem"
 
 
 def _edges(spark, d) -> DataFrame:
     kind = F.when(F.col("l_linenumber") % 3 == 0, "CITES").when(F.col("l_linenumber") % 3 == 1, "FOLLOWS").otherwise("AFFIRMS")
-    e = t(spark, d, "lineitem").select((F.col("l_suppkey") % 97).alias("src"), (F.col("l_partkey") % 89 + 100).alias("dst"), kind.alias("type")).distinct()
-    return e.withColumn("edge_id", F.concat_ws("-", "src", "dst", "type")).withColumn("edge_ord", F.col("src") * 1000 + F.col("dst"))
+    keys = t(spark, d, "lineitem").select("l_suppkey", "l_partkey", kind.alias("type")).distinct()
+    e = keys.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), "type", (F.col("l_suppkey") * (1 << 31) + F.col("l_partkey")).alias("edge_ord"))
+    return e.withColumn("edge_id", F.concat_ws("-", "src", "dst", "type"))
 
 
-@query(f"WITH e AS ({_EDGES}) SELECT case_id, other_id, type, n FROM (SELECT src AS case_id, dst AS other_id, type, 1 AS n FROM e UNION ALL SELECT dst, src, CASE type WHEN 'CITES' THEN 'CITED_BY' WHEN 'FOLLOWS' THEN 'CITED_BY' ELSE 'RELATED' END, 1 FROM e)")
+@query(f"WITH e AS ({_EDGES}) SELECT src AS case_id, dst AS other_id, type FROM e UNION ALL SELECT dst, src, CASE type WHEN 'AFFIRMS' THEN 'RELATED' ELSE 'CITED_BY' END FROM e")
 def edges_both_directions(spark, d):
-    return graph.both_directions(_edges(spark, d)).select("case_id", "other_id", "type", F.lit(1).alias("n"))
+    return graph.both_directions(_edges(spark, d)).select("case_id", "other_id", "type")
 
 
 @query(f"SELECT dst AS case_id, count(*) AS incoming, count(DISTINCT src) AS citing FROM ({_EDGES}) GROUP BY 1")
@@ -362,48 +364,27 @@ def incoming_counts(spark, d):
     return _edges(spark, d).groupBy(F.col("dst").alias("case_id")).agg(F.count(F.lit(1)).alias("incoming"), F.countDistinct("src").alias("citing"))
 
 
-# The SQL of the two above folds the keys; these are over every supplier and part.
-_ALL_EDGES = "SELECT DISTINCT 's' || CAST(l_suppkey AS VARCHAR) AS src, 'p' || CAST(l_partkey AS VARCHAR) AS dst, CASE l_linenumber % 3 WHEN 0 THEN 'CITES' WHEN 1 THEN 'FOLLOWS' ELSE 'AFFIRMS' END AS type FROM lineitem"
-
-
-def _all_edges(spark, d) -> DataFrame:
-    kind = F.when(F.col("l_linenumber") % 3 == 0, "CITES").when(F.col("l_linenumber") % 3 == 1, "FOLLOWS").otherwise("AFFIRMS")
-    keys = t(spark, d, "lineitem").select("l_suppkey", "l_partkey", kind.alias("type")).distinct()
-    e = keys.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), "type", (F.col("l_suppkey") * (1 << 31) + F.col("l_partkey")).alias("edge_ord"))
-    return e.withColumn("edge_id", F.concat_ws("-", "src", "dst", "type"))
-
-
-@query(f"WITH e AS ({_ALL_EDGES}) SELECT src AS case_id, dst AS other_id, type FROM e UNION ALL SELECT dst, src, CASE type WHEN 'AFFIRMS' THEN 'RELATED' ELSE 'CITED_BY' END FROM e")
-def all_edges_both_directions(spark, d):
-    return graph.both_directions(_all_edges(spark, d)).select("case_id", "other_id", "type")
-
-
-@query(f"SELECT dst AS case_id, count(*) AS incoming, count(DISTINCT src) AS citing FROM ({_ALL_EDGES}) GROUP BY 1")
-def all_incoming_counts(spark, d):
-    return _all_edges(spark, d).groupBy(F.col("dst").alias("case_id")).agg(F.count(F.lit(1)).alias("incoming"), F.countDistinct("src").alias("citing"))
-
-
 _BFS = "WITH e AS ({e}), b AS ({b}), h AS (SELECT DISTINCT y AS case_id FROM b WHERE x = 'p1') SELECT 'p1' AS case_id, 0 AS hop UNION ALL SELECT case_id, 1 FROM h UNION ALL SELECT DISTINCT y, 2 FROM b WHERE x IN (SELECT case_id FROM h) AND y <> 'p1' AND y NOT IN (SELECT case_id FROM h)"
 
 
-@query(_BFS.format(e=_ALL_EDGES, b="SELECT src AS x, dst AS y FROM e UNION ALL SELECT dst, src FROM e"))
+@query(_BFS.format(e=_EDGES, b="SELECT src AS x, dst AS y FROM e UNION ALL SELECT dst, src FROM e"))
 def bfs_depth2(spark, d):
     """Cases within two hops of part 1."""
-    return graph.expand(_all_edges(spark, d), "p1", 2)[0]
+    return graph.expand(_edges(spark, d), "p1", 2)[0]
 
 
-@query(_BFS.format(e=_ALL_EDGES, b="SELECT src AS x, dst AS y FROM e WHERE type = 'CITES' UNION ALL SELECT dst, src FROM e WHERE type IN ('CITES', 'FOLLOWS')"))
+@query(_BFS.format(e=_EDGES, b="SELECT src AS x, dst AS y FROM e WHERE type = 'CITES' UNION ALL SELECT dst, src FROM e WHERE type IN ('CITES', 'FOLLOWS')"))
 def bfs_typed(spark, d):
     """Cases within two hops of part 1 by citations: from a part also against those that follow it."""
-    return graph.expand(_all_edges(spark, d), "p1", 2, ("CITES", "CITED_BY"))[0]
+    return graph.expand(_edges(spark, d), "p1", 2, ("CITES", "CITED_BY"))[0]
 
 
-@query(f"WITH RECURSIVE e AS ({_ALL_EDGES}), b AS (SELECT src AS x, dst AS y FROM e WHERE type = 'AFFIRMS' UNION SELECT dst, src FROM e WHERE type = 'AFFIRMS'), m AS (SELECT 's1' AS case_id UNION SELECT y FROM m JOIN b ON x = case_id), c AS (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS case_id, min(l_shipdate) AS decided FROM lineitem GROUP BY 1 UNION ALL SELECT 'p' || CAST(l_partkey AS VARCHAR), min(l_shipdate) FROM lineitem GROUP BY 1) SELECT case_id, year(decided) AS decided, CASE WHEN case_id IN (SELECT src FROM e WHERE type = 'AFFIRMS') THEN 'AFFIRMATION' ELSE 'DECISION' END AS kind FROM m JOIN c USING (case_id)")
+@query(f"WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT src AS x, dst AS y FROM e WHERE type = 'AFFIRMS' UNION SELECT dst, src FROM e WHERE type = 'AFFIRMS'), m AS (SELECT 's1' AS case_id UNION SELECT y FROM m JOIN b ON x = case_id), c AS (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS case_id, min(l_shipdate) AS decided FROM lineitem GROUP BY 1 UNION ALL SELECT 'p' || CAST(l_partkey AS VARCHAR), min(l_shipdate) FROM lineitem GROUP BY 1) SELECT case_id, year(decided) AS decided, CASE WHEN case_id IN (SELECT src FROM e WHERE type = 'AFFIRMS') THEN 'AFFIRMATION' ELSE 'DECISION' END AS kind FROM m JOIN c USING (case_id)")
 def timeline_kind(spark, d):
     """The chain of supplier 1, each member decided in the year of its first shipment."""
     lines = t(spark, d, "lineitem")
     dated = lambda kind, key: lines.groupBy(F.concat(F.lit(kind), key).alias("case_id")).agg(F.year(F.min("l_shipdate")).alias("decided"))
-    return graph.timeline(dated("s", "l_suppkey").unionByName(dated("p", "l_partkey")), _all_edges(spark, d), "s1")
+    return graph.timeline(dated("s", "l_suppkey").unionByName(dated("p", "l_partkey")), _edges(spark, d), "s1")
 
 
 @query("SELECT l_partkey AS partkey, o_orderkey AS citing, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS BIGINT) AS rank FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey")
@@ -463,14 +444,19 @@ def provenance_valid(spark, d):
 def blocks_and_pages(spark, d):
     """Lines as pages, with running offsets, inside the row: no shuffle."""
     lines = F.split("text", "\n", -1)
-    starts = F.expr("transform(ls, (l, i) -> named_struct('line_no', CAST(i + 1 AS BIGINT), 'n_chars', CAST(length(l) AS BIGINT), 'start', aggregate(slice(ls, 1, i), 0L, (a, x) -> a + length(x) + 1)))")
+    empty = F.array().cast("array<struct<line_no:bigint,n_chars:bigint,start:bigint>>")
+    step = lambda s, l: F.struct(
+        (s["at"] + F.length(l) + 1).alias("at"), (s["i"] + 1).alias("i"),
+        F.array_append(s["out"], F.struct((s["i"] + 1).alias("line_no"), F.length(l).cast("long").alias("n_chars"), s["at"].alias("start"))).alias("out"),
+    )
+    zero = F.lit(0).cast("long")
+    starts = F.aggregate("ls", F.struct(zero.alias("at"), zero.alias("i"), empty.alias("out")), step, lambda s: s["out"])
     return t(spark, d, "documents").select("doc_id", lines.alias("ls")).select("doc_id", F.explode(starts).alias("p")).select("doc_id", "p.*")
 
 
-@query("SELECT doc_id, CAST(greatest(1, len(list_filter(o, lambda x: x <= n // 2))) AS BIGINT) AS page FROM (SELECT doc_id, length(text) AS n, list_transform(range(0, 40), lambda i: i * 500) AS o FROM documents)")
+@query("SELECT doc_id, CAST(greatest(1, len(list_filter(o, lambda x: x <= n // 2))) AS BIGINT) AS page FROM (SELECT doc_id, length(text) AS n, list_transform(range(0, length(text) // 500 + 1), lambda i: i * 500) AS o FROM documents)")
 def page_for_offset(spark, d):
     """The last page that starts at or before the offset: pages of 500 characters, the middle of the text."""
-    # The SQL makes 40 starts only, so it differs from this where the middle is beyond character 20,000.
     starts = F.transform(F.sequence(F.lit(0), F.floor(F.coalesce(F.length("text"), F.lit(0)) / 500)), lambda i: i * 500)
     return t(spark, d, "documents").select("doc_id", F.greatest(F.lit(1), F.size(F.filter(starts, lambda x: x <= F.floor(F.length("text") / 2)))).cast("long").alias("page"))
 
