@@ -9,7 +9,7 @@ JOINT = "\n\f\n"
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, text of every file under path; bytes that are no UTF-8 become the replacement character."""
+    """path, size, text of every file under path that is not empty; bytes that are no UTF-8 become the replacement character."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
 

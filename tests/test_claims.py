@@ -86,7 +86,7 @@ def test_texts_from_files(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"")
     got = {r["path"][-5:]: r for r in texts.read_texts(spark, f"file://{tmp_path}").select("path", "size", texts.pages(F.col("text")).alias("p")).withColumn("s", texts.page_starts(F.col("p"))).withColumn("j", texts.joined(F.col("p"))).collect()}
     assert got["a.txt"]["p"] == ["one\ntwo", "three é"] and got["a.txt"]["s"] == [0, 10] and got["a.txt"]["j"][10:] == "three é"
-    assert got["b.txt"]["p"] == [""] and got["b.txt"]["s"] == [0]
+    assert set(got) == {"a.txt"}  # an empty file gives no row
 
 
 def test_streamed_limiter_equals_the_batch_one(spark, tmp_path):
