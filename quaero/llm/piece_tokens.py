@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 #: Letters and digits with the marks before them, other characters, or marks alone.
 CHUNKS = re.compile(f"{MARK}*\\w+|[^\\w{MARK}]+|{MARK}+")
-#: Entries of each of the two tables, of some 200 bytes.
-REMEMBERED = 200_000
+#: Entries of the table of fits, of some 150 bytes, and of each of two generations of chunks, of some 300.
+REMEMBERED = 500_000
+GENERATION = 250_000
 #: Rows whose results are held at once.
 SLICE = 256
 NEVER = float("-inf")
@@ -80,6 +81,7 @@ class PieceEncoder:
         self.shorter = {x: next((x[:n] for n in range(len(x) - 1, 0, -1) if x[:n] in reachable), None) for x in made}
         self.fits_memo: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, tuple[list[int], str, str]] = {}
+        self.older: dict[str, tuple[list[int], str, str]] = {}  # the generation before; what is used again moves on
 
     def merge(self, text: str) -> list[str]:
         """Merges the pair with the best score, leftmost first, until none is in the vocabulary."""
@@ -178,6 +180,9 @@ class PieceEncoder:
         found = self.memo.get(chunk)
         if found is not None:
             return found
+        found = self.older.get(chunk)
+        if found is not None:
+            return self.remember(chunk, found)
         bare = chunk.lstrip(MARK)
         marks = len(chunk) - len(bare)
         if marks <= 1 and bare:
@@ -197,10 +202,12 @@ class PieceEncoder:
             else:
                 raise ValueError("wants a model with byte fallback")
         found = (ids, pieces[0], pieces[-1])
-        if len(chunk) <= LONGEST_REMEMBERED:
-            if len(self.memo) >= REMEMBERED:
-                self.memo.clear()
-            self.memo[chunk] = found
+        return self.remember(chunk, found) if len(chunk) <= LONGEST_REMEMBERED else found
+
+    def remember(self, chunk: str, found: tuple[list[int], str, str]) -> tuple[list[int], str, str]:
+        if len(self.memo) >= GENERATION:
+            self.older, self.memo = self.memo, {}
+        self.memo[chunk] = found
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -273,8 +280,6 @@ def piece_tokens(docs: DataFrame, model_path: str, with_ids: bool = True) -> Dat
                 if with_ids:
                     columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names)
-        e.memo.clear()  # the worker goes on to other tasks
-        e.fits_memo.clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     return _whole_ids(docs).mapInArrow(run, schema)
