@@ -221,11 +221,13 @@ class PieceEncoder:
         for c in CHUNKS.findall((MARK if self.dummy_prefix else "") + text.replace(" ", MARK)):
             found = memo(c) or self.chunk(c)
             if c[0] == MARK:  # nothing merges across the start of a run of marks
-                for _, before, _ in settled:
-                    out += before
+                if settled:
+                    for _, before, _ in settled:
+                        out += before
+                    settled = []
                 out += ids
-                settled.clear()
-                held, (ids, _, last) = c, found
+                held = c
+                ids, _, last = found
                 continue
             while held:
                 fit = known((last, found[1]))
@@ -235,7 +237,8 @@ class PieceEncoder:
                 c = held + c
                 found = self.chunk(c)
                 held, ids, last = settled.pop() if settled else ("", [], "")
-            held, (ids, _, last) = c, found
+            held = c
+            ids, _, last = found
         for _, before, _ in settled:
             out += before
         out += ids
