@@ -7,6 +7,8 @@ points from 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def bounded(pattern: str) -> str:
     return f"{_L}(?:{pattern}){_R}"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once a row: lambdas evaluate whatever they refer to anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(col: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
     return F.regexp_replace(F.regexp_replace(col, f"[{SPACES}]+", " "), "^ | $", "")
@@ -96,13 +103,14 @@ def format_day(day: Column) -> Column:
 def trigrams(normalised: Column) -> Column:
     """Distinct windows of three characters of the text with two spaces before and one after."""
     padded = F.concat(F.lit("  "), normalised, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(normalised) + 1), lambda i: F.substring(padded, i, 3)))
+    return once(padded, lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, 3))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """|both| / |either| of two arrays of distinct values; 1 if both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    sizes = lambda x: F.struct(F.size(F.array_intersect(x["a"], x["b"])).alias("both"), F.size(F.array_union(x["a"], x["b"])).alias("either"))
+    share = lambda x: F.when(x["either"] == 0, 1.0).otherwise(x["both"] / x["either"])
+    return once(once(F.struct(a.alias("a"), b.alias("b")), sizes), share)
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
@@ -112,7 +120,8 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 
 def containment(needle: Column, hay: Column) -> Column:
     """Share of needle's tokens, repeats counted, that hay has; 0 for an empty needle."""
-    return F.when(F.size(needle) == 0, 0.0).otherwise(F.size(F.filter(needle, lambda x: F.array_contains(hay, x))) / F.size(needle))
+    share = lambda x: F.size(F.filter(x["needle"], lambda w: F.array_contains(x["hay"], w))) / F.size(x["needle"])
+    return once(F.struct(needle.alias("needle"), hay.alias("hay")), lambda x: F.when(F.size(x["needle"]) == 0, 0.0).otherwise(share(x)))
 
 
 def vector_cosine(a: Column, b: Column) -> Column:

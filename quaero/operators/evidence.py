@@ -45,9 +45,16 @@ def looked_up(values: dict, key: Column, default=None) -> Column:
 
 def title_similarity(a: Column, b: Column) -> Column:
     """Of two normalised titles: 0 if one is empty, 1 if equal, else by trigrams and tokens."""
-    tri = T.jaccard(T.trigrams(a), T.trigrams(b))
-    tok = T.jaccard(F.array_distinct(T.title_tokens(a)), F.array_distinct(T.title_tokens(b)))
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(tri, (tri + tok) / 2))
+
+    def scores(x: Column) -> Column:
+        tok = T.jaccard(F.array_distinct(T.title_tokens(x["a"])), F.array_distinct(T.title_tokens(x["b"])))
+        return F.struct(T.jaccard(T.trigrams(x["a"]), T.trigrams(x["b"])).alias("tri"), tok.alias("tok"))
+
+    def score(x: Column) -> Column:
+        like = T.once(scores(x), lambda s: F.greatest(s["tri"], (s["tri"] + s["tok"]) / 2))
+        return F.when((x["a"] == "") | (x["b"] == ""), 0.0).when(x["a"] == x["b"], 1.0).otherwise(like)
+
+    return T.once(F.struct(a.alias("a"), b.alias("b")), score)
 
 
 def query_tokens(text: Column) -> Column:
