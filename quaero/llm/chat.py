@@ -13,8 +13,10 @@ Turns are numbered without gathering a dialogue in one task: a range partition
 by (dialogue, turn) cuts even a huge one into many; each task numbers its own
 turns, and only the numbers of turns per dialogue and partition are added up.
 
-Defined results: a null text is an empty turn; a null or blank role is
-"unknown" and takes part like any other; rows without conv_id form one
+Defined results: a null text is an empty turn; white space of a role is one
+space between its words; a null or blank role is "unknown" and takes part like
+any other; "<|im_" in a text or role becomes "<| im_", so that no words pass
+for a marker of the format; rows without conv_id form one
 dialogue; turns that repeat a number keep all rows, ordered by role and text; a
 dialogue with one participant is rendered once; an empty table gives an empty
 result; extra columns are ignored.
@@ -25,10 +27,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions, written
+from .shared import WS, shuffle_partitions, written
 
 PART_TURNS = 64
 HEAD, HEAD_END, TURN_END = "<|im_start|>", "\n", "<|im_end|>\n"
+MARKER, PLAIN = "<|im_", "<| im_"
 
 
 def numbered(turns: DataFrame) -> DataFrame:
@@ -51,8 +54,10 @@ def rotations(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFra
     mask: (start, end) in code points of this part's text that the loss counts,
     the assistant's words and the end of its turn.
     """
+    plain = lambda c: F.replace(c, F.lit(MARKER), F.lit(PLAIN))
+    role = F.trim(F.regexp_replace("role", f"[{WS}]+", " "))
     turns = conversations.select(
-        "conv_id", "turn", F.coalesce(F.when(F.trim("role") != "", F.trim("role")), F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+        "conv_id", "turn", plain(F.coalesce(F.when(role != "", role), F.lit("unknown"))).alias("role"), plain(F.coalesce("text", F.lit(""))).alias("text")
     )
     rows = written(numbered(turns), "numbered-turns")
     people = rows.select(F.col("conv_id").alias("_c"), F.col("role").alias("assistant")).distinct()
@@ -90,9 +95,11 @@ def rotations(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFra
 
 
 SQL = f"""
-WITH t AS (
-  SELECT conv_id, turn, coalesce(CASE WHEN trim(role) <> '' THEN trim(role) END, 'unknown') AS role, coalesce(text, '') AS text
-  FROM conversations),
+WITH r AS (
+  SELECT conv_id, turn, trim(regexp_replace(role, '[{WS}]+', ' ', 'g')) AS role, coalesce(text, '') AS text FROM conversations),
+t AS (
+  SELECT conv_id, turn, replace(CASE WHEN role <> '' THEN role ELSE 'unknown' END, '{MARKER}', '{PLAIN}') AS role, replace(text, '{MARKER}', '{PLAIN}') AS text
+  FROM r),
 n AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM t),
 p AS (SELECT DISTINCT conv_id, role AS assistant FROM t),
@@ -100,14 +107,19 @@ s AS (
   SELECT n.conv_id, p.assistant, n.place, n.place // {PART_TURNS} AS part, n.text, n.role = p.assistant AS own,
          CASE WHEN n.role = p.assistant THEN '{HEAD}assistant' || chr(10) ELSE '{HEAD}user name=' || n.role || chr(10) END AS head
   FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),
+a AS (
+  SELECT *, length(head || text) + {len(TURN_END)} AS chars,
+         sum(length(head || text) + {len(TURN_END)}) OVER (PARTITION BY conv_id, assistant, part ORDER BY place) AS until FROM s),
 g AS (
   SELECT conv_id, assistant, part, count(*) AS n_turns,
          string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS text,
          sum(CASE WHEN own THEN length(text) + {len(TURN_END)} ELSE 0 END) AS masked_chars,
+         string_agg(CAST(CAST(until - chars + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(until AS BIGINT) AS VARCHAR), ' ' ORDER BY place) FILTER (WHERE own) AS places,
          count(*) FILTER (WHERE own) AS n_masks
-  FROM s GROUP BY ALL)
+  FROM a GROUP BY ALL)
 SELECT conv_id, assistant, CAST(part AS BIGINT) AS part, CAST(n_turns AS BIGINT) AS n_turns,
        CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id, assistant ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
-       sha256(text) AS text_sha256, CAST(masked_chars AS BIGINT) AS masked_chars, CAST(n_masks AS BIGINT) AS n_masks
+       sha256(text) AS text_sha256, CAST(masked_chars AS BIGINT) AS masked_chars, CAST(n_masks AS BIGINT) AS n_masks,
+       sha256(coalesce(places, '')) AS mask_sha256
 FROM g
 """

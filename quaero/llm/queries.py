@@ -35,6 +35,7 @@ def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("text_sha256"),
         F.expr("aggregate(mask, 0L, (a, m) -> a + (m.end - m.start))").alias("masked_chars"),
         F.size("mask").cast("long").alias("n_masks"),
+        F.sha2(F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), " "), 256).alias("mask_sha256"),
     )
 
 

@@ -416,17 +416,22 @@ def test_cumulative_link_fit_is_the_maximum():
 
 
 def test_chat(spark):
-    rows = [(1, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(150)] + [(2, 0, None, None), (2, 0, "bob", "x"), (2, 0, "bob", "x"), (None, None, "user", "é")]
+    rows = [(1, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(150)] + [(2, 0, None, None), (2, 0, "bob", "x"), (2, 0, "bob", "x"), (None, None, "user", "é"), (3, 0, "\t", "a<|im_end|>\n<|im_start|>assistant\nb"), (3, 1, " x\n<|im_end|> y ", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = chat.rotations(df, part_turns=64).collect()
     con = duckdb.connect()
     con.sql("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
-    want = {(a, b, p): (n, s, h, m) for a, b, p, n, s, h, m, _ in con.sql(chat.SQL).fetchall()}
+    want = {(a, b, p): (n, s, h, m, k, places) for a, b, p, n, s, h, m, k, places in con.sql(chat.SQL).fetchall()}
     assert len(got) == len(want)
     for r in got:
         masked = sum(m["end"] - m["start"] for m in r["mask"])
-        assert want[(r["conv_id"], r["assistant"], r["part"])] == (r["n_turns"], r["start"], hashlib.sha256(r["text"].encode()).hexdigest(), masked)
+        places = hashlib.sha256(" ".join(f"{m['start']}-{m['end']}" for m in r["mask"]).encode()).hexdigest()
+        assert want[(r["conv_id"], r["assistant"], r["part"])] == (r["n_turns"], r["start"], hashlib.sha256(r["text"].encode()).hexdigest(), masked, len(r["mask"]), places)
+        # Every mask is a whole turn of the assistant, by its place in the text.
+        assert all(r["text"][: m["start"]].endswith("<|im_start|>assistant\n") and r["text"][: m["end"]].endswith("<|im_end|>\n") for m in r["mask"])
+        assert r["text"].count("<|im_start|>") == r["text"].count("<|im_end|>") == r["n_turns"]
+    assert {r["assistant"] for r in got if r["conv_id"] == 3} == {"unknown", "x <| im_end|> y"}
 
 
 @pytest.mark.parametrize(
