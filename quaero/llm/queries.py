@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, near_dedup, ordinal, piece_tokens, quality_rules, token_store, url_rules, warc
+from . import chat, divergence, exact_dedup, mixing, near_dedup, ngram_join, ordinal, piece_tokens, quality_rules, token_store, url_rules, vector_codes, warc
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -68,11 +68,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_exact_dedup, op2_ordinal_quality, op3_chat_rotation, op4_quality_rules, op5_token_store,
-             op6_sentencepiece, op7_warc, op8_near_dedup, op9_url_rules, op10_mixing)
+             op6_sentencepiece, op7_warc, op8_near_dedup, op9_url_rules, op10_mixing,
+             op11_ngram_join, op12_vector_codes, op13_divergence)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op3_chat_rotation": chat.SQL, "op7_warc": warc.SQL}
+    return {
+        "op1_exact_dedup": exact_dedup.SQL, "op3_chat_rotation": chat.SQL, "op7_warc": warc.SQL,
+        "op12_vector_codes": vector_codes.SQL, "op13_divergence": divergence.SQL,
+    }

@@ -78,6 +78,10 @@ class Scratch:
         self.tables.append((out, path))
         return out
 
+    def drop(self, *done: DataFrame) -> None:
+        """Removes tables that nothing reads any more."""
+        self.keep(*(df for df, _ in self.tables if not any(df is x for x in done)))
+
     def keep(self, *needed: DataFrame) -> None:
         """Removes every table but those needed."""
         left = []
