@@ -14,15 +14,14 @@ smallest member; links contract into components. Of keys that still hold two
 components after that, the members of a small one (MEET members and
 MEET_SHINGLES shingles at most; keys with the same members count once) meet in one task,
 which puts out fewer links than it has components. A larger key is dealt out anew by
-differences: let D(u) be what the sets of u and of the centre do not share. Sets u and v differ by
+differences from its consensus, the shingles that more than half of its members have: let
+D(u) be where u departs from it. Sets u and v differ by
 |D(u)| + |D(v)| - 2 |D(u) & D(v)|, so a bound on their difference is a least
-number of common differences, which for members that are not linked through the
-centre is never below one. That is a prefix filter again, on small sets and in
-an order of the centre's own (first what it lacks, rare ones first; then what it
-has, frequent ones first), so members go on together only with those that
-share an unusual difference. The new keys go through the same round without their
-centre, until no key holds two components. Texts of one template that do not
-link therefore share at most few keys, however many they are.
+number of common departures. Members for which it is none are linked with the
+one nearest to the consensus; for all other pairs it is one or more, which is a prefix
+filter again, on the small sets D. At most half of the members share a
+departure, so a round at least halves a key, and texts of one template that do
+not link soon are apart, however many they are.
 
 Nodes are the distinct sets, so copies make no pairs. Texts of members of shared
 keys are written once; rounds read sets of what they verify. Everything grows
@@ -181,16 +180,13 @@ def full_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, hashes binary")
 
 
-def _with_centre(pairs: DataFrame, sets: DataFrame, found, schema: str) -> DataFrame:
-    """pairs(a, b), sets(id, hashes) -> the rows that found(a, set of a, b, set of b) gives. A centre's set goes once to each group of its partners."""
+def _with_centre(pairs: DataFrame, heads: DataFrame, sets: DataFrame, found, schema: str) -> DataFrame:
+    """pairs(a, b), heads(a, hashes), sets(id, hashes) -> the rows that found(a, set of a, b, set of b) gives. A head goes once to each group of its partners."""
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIR_GROUP).alias("groups"))
     spread = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("grp"))
-    heads = degree.join(sets.withColumnRenamed("id", "a"), "a").select(
-        "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("grp"), F.lit(-1).cast("long").alias("b"), "hashes"
-    )
-    rows = spread.join(sets.withColumnRenamed("id", "b"), "b").select("a", "grp", "b", "hashes").unionByName(heads)
+    first = degree.join(heads, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("grp"), F.lit(-1).cast("long").alias("b"), "hashes")
+    rows = spread.join(sets.withColumnRenamed("id", "b"), "b").select("a", "grp", "b", "hashes").unionByName(first)
     parts = rows.repartition(shuffle_partitions(pairs.sparkSession), "a", "grp").sortWithinPartitions("a", "grp", "b")  # ids are not negative: heads come first
-    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head, mine = None, None
@@ -204,7 +200,7 @@ def _with_centre(pairs: DataFrame, sets: DataFrame, found, schema: str) -> DataF
                     raise ValueError(f"the set of {a} is missing")
                 else:
                     out += found(a, mine, b, h)
-            yield pd.DataFrame(out, columns=names, dtype="int64")
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 
     return parts.mapInPandas(run, schema)
 
@@ -251,35 +247,60 @@ def _among(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("grp", "id", "component", "hashes").mapInPandas(run, "a long, b long")
 
 
-def difference_prefix(a: np.ndarray, u: np.ndarray, levels, percent: int) -> np.ndarray:
-    """Of what the centre's set a and u do not share, the prefix in the order of a: any two members that are linked,
-    but not both with the centre, have one of these in common.
+def consensus(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """groups(grp, id), sets(id, hashes) -> grp, hashes: those that more than half of its members have, the most common first."""
 
-    With d = (100 - percent) / (100 + percent), linked sets u and v differ by d (|u| + |v|) at most. If |D(u)| says that
-    u is not linked with the centre, at least (|D(u)| - d (|u| + |a|)) / 2 differences are common with any partner;
-    if u is linked, its partner is not, and more than (|D(u)| + d (|a| - |u|)) / 2 are.
-    """
-    added, gone = np.setdiff1d(u, a, assume_unique=True), np.setdiff1d(a, u, assume_unique=True)
-    n, up, down = len(added) + len(gone), 100 + percent, 100 - percent
-    if up * n > down * (len(u) + len(a)):
-        common = max(1, -((down * (len(u) + len(a)) - up * n) // (2 * up)))
-    else:
-        common = max(1, (up * n + down * (len(a) - len(u))) // (2 * up) + 1)
-    n = max(0, n - common + 1)
-    added = added[np.argsort(levels(added), kind="stable")][:n]
-    gone = gone[np.argsort(-levels(gone).astype(np.int16), kind="stable")][: n - len(added)]
-    return np.concatenate([added, gone])
-
-
-def _differences(percent: int, tables) -> object:
-    def found(a: int, mine: np.ndarray, b: int, other: np.ndarray) -> list[tuple]:
-        prefix = difference_prefix(mine, other, lambda h: _levels(h, tables.value), percent)
-        keys = _mixed(prefix ^ np.uint64(a), ORDERS).view(np.int64)
-        return [(int(k), b) for k in keys]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of: dict[int, list[np.ndarray]] = {}
+            for grp, hashes in zip(batch.column("grp").to_pylist(), batch.column("hashes"), strict=True):
+                of.setdefault(grp, []).append(np.frombuffer(hashes.as_buffer(), np.int64))
+            for grp, held in of.items():
+                shingles, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), grp, np.int64)), pa.array(shingles), pa.array(n.astype(np.int64))], ["grp", "shingle", "n"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.array(x, np.int64).tobytes() for x in batch.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array(hashes, pa.binary())], ["grp", "hashes"])
+
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
+    counted = groups.join(sets, "id").select("grp", "hashes").mapInArrow(run, "grp long, shingle long, n long").groupBy("grp", "shingle").agg(F.sum("n").alias("n"))
+    common = counted.join(sizes, "grp").filter("2 * n > m").groupBy("grp").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "shingle"))).alias("common"))
+    # A group with no consensus departs from nothing: its members' whole sets are compared.
+    return sizes.join(common, "grp", "left").select("grp", F.coalesce(F.col("common.shingle"), F.array().cast("array<long>")).alias("shingles")).mapInArrow(packed, "grp long, hashes binary")
+
+
+def _departures(tables):
+    """Where a member departs from the consensus, in an order that all members of the group share: what only it and few others have, rare ones first; then what it lacks of the least common part on."""
+
+    def found(grp: int, common: np.ndarray, b: int, h: np.ndarray) -> list[tuple]:
+        added = np.setdiff1d(h, common)
+        added = added[np.argsort(_levels(added, tables.value), kind="stable")]
+        gone = common[::-1][~np.isin(common[::-1], h)]
+        return [(grp, b, len(h), [int(x) for x in np.concatenate([added, gone]).view(np.int64)])]
 
     return found
 
 
+def dealt_anew(departures: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """departures(grp, id, n, away) -> links (a, b) that are certain, and (key, id): any two members of a group that
+    are linked, but not both with the one nearest to the consensus, have a key in common.
+
+    s = |D| - d n with d = (100 - percent) / (100 + percent), here times 100 + percent. Linked sets differ by
+    d (n + n') at most, so they have at least (s + s') / 2 departures in common, and with s + s' <= 0 they are linked
+    for certain. Let s0 be the smallest. Members with s <= -s0 are linked with its owner; their partners have more.
+    """
+    up, down = 100 + percent, 100 - percent
+    scored = departures.withColumn("s", F.size("away") * F.lit(up).cast("long") - F.col("n") * down)
+    first = scratch.written(scored.groupBy("grp").agg(F.min(F.struct("s", "id")).alias("first")).select("grp", F.col("first.s").alias("s0"), F.col("first.id").alias("a")), "nearest")
+    scored = scored.join(first, "grp")
+    links = scored.filter("s + s0 <= 0 AND id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    common = F.when(F.expr("s + s0 > 0"), F.ceil(F.expr(f"(s + s0) / {2 * up}"))).otherwise(F.floor(F.expr(f"(s - s0) / {2 * up}")) + 1)
+    length = F.greatest(F.lit(0), F.size("away") - common + 1).cast("int")
+    return links, scored.select(F.explode(F.slice("away", F.lit(1), length)).alias("x"), "grp", "id").select(F.xxhash64("grp", "x").alias("key"), "id")
+
+
 def smallest_linked(percent: int) -> int:
     """Smaller sets can only be linked with equal ones: one element more is too much."""
     return next(n for n in range(1, 101) if 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 62
@@ -308,7 +329,6 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
         return n.map(lambda x: list(classes_of(x, t)))
 
     keys = written(fit.select("id", F.explode("p0").alias("p"), "n").withColumn("cls", F.explode(classes("n"))).select(F.xxhash64("p", "cls").alias("key"), "id"), "keys")
-    texts = None
     sent = spark.sparkContext.broadcast(tables)
     links = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     now, n_now = nodes.select("id", F.col("id").alias("component")).limit(0), 0
@@ -324,13 +344,6 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
         scratch.drop(ids)
         return sets
 
-    def verified(pairs: DataFrame, found, schema: str, label: str) -> DataFrame:
-        """What found gives for pairs(a, b) and their full sets."""
-        sets = sets_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
-        out = written(_with_centre(pairs, sets, found, schema), label)
-        scratch.drop(sets)
-        return out
-
     def contracted(found: DataFrame) -> None:
         nonlocal links, now, n_now
         if found.limit(1).count():
@@ -339,27 +352,28 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
             n_now = now.count()
 
     side = lambda x: fit.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(p).alias(f"{p}{x}") for p in others[1:]])
+    centres = written(keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "centres")
+    members = written(keys.join(centres, "key"), "members")
+    ids = written(members.select("id").distinct(), "needed")
+    n_ids = ids.count()
+    of = nodes.join(small_side(ids, n_ids, 16), "id").select(F.col("id").alias("node"), F.col("first.id").alias("id"), F.col("first.sign").alias("sign"))
+    texts = written(rows.join(small_side(of, n_ids, 64), ["id", "sign"]).select(F.col("node").alias("id"), "text"), "texts")
+    texts = texts if texts.count() == n_ids else written(texts.dropDuplicates(["id"]), "texts")  # rows that repeat doc_id and text
+
+    pairs = members.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    for p in others[1:]:
+        near = near.filter(F.arrays_overlap(f"{p}a", f"{p}b"))
+    near = written(near.select("a", "b"), "candidates")
+    if near.limit(1).count():
+        sets = sets_of(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))))
+        contracted(written(_with_centre(near, sets.withColumnRenamed("id", "a"), sets, _linked(percent), "a long, b long"), "links"))
+        scratch.drop(sets)
+    # Centres are done; what is left of the keys of one centre is one group if large.
+    members = members.filter("m > 2 AND id <> a").select("key", "id", F.col("a").alias("grp"))
     while True:
-        centres = written(keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "centres")
-        members = written(keys.join(centres, "key").filter("id <> a"), "members")
-        if texts is None:  # of all that the first keys bring together: later keys hold no others
-            ids = written(members.select("id").unionByName(centres.select(F.col("a").alias("id"))).distinct(), "needed")
-            n_ids = ids.count()
-            of = nodes.join(small_side(ids, n_ids, 16), "id").select(F.col("id").alias("node"), F.col("first.id").alias("id"), F.col("first.sign").alias("sign"))
-            texts = written(rows.join(small_side(of, n_ids, 64), ["id", "sign"]).select(F.col("node").alias("id"), "text"), "texts")
-            texts = texts if texts.count() == n_ids else written(texts.dropDuplicates(["id"]), "texts")  # rows that repeat doc_id and text
-        pairs = members.select("a", F.col("id").alias("b")).distinct()
-        if n_now:
-            pairs = placed(placed(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-        near = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        for p in others[1:]:
-            near = near.filter(F.arrays_overlap(f"{p}a", f"{p}b"))
-        near = written(near.select("a", "b"), "candidates")
-        if near.limit(1).count():
-            contracted(verified(near, _linked(percent), "a long, b long", "links"))
-        several = placed(members.filter("m > 2"), "id", "component").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        apart = written(members.join(several.filter("lo <> hi").select("key"), "key", "left_semi").join(nodes.select("id", "n"), "id"), "apart")
-        scratch.drop(keys, centres, members, near)
+        several = placed(members, "id", "component").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+        apart = written(members.join(several.select("key"), "key", "left_semi").join(nodes.select("id", "n"), "id"), "apart")
         large = apart.groupBy("key").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("m")).filter((F.col("m") > MEET) | (F.col("shingles") > MEET_SHINGLES))
         large = written(large.select("key"), "large")
         lists = apart.join(large, "key", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
@@ -368,12 +382,22 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
             sets = sets_of(groups.select("id"))
             contracted(written(_among(placed(groups, "id", "component"), sets, percent), "links"))
             scratch.drop(sets)
-        rest = written(apart.join(large, "key", "left_semi").select("a", F.col("id").alias("b")).distinct(), "rest")
-        scratch.drop(apart, large, groups)
+        rest = written(apart.join(large, "key", "left_semi").select("grp", "id").distinct(), "rest")
+        scratch.drop(apart, large, groups, keys)
         if not rest.limit(1).count():
             break
-        keys = verified(rest, _differences(percent, sent), "key long, id long", "keys")
-        scratch.drop(rest)
+        sets = sets_of(rest.select("id"))
+        heads = written(consensus(rest, sets), "consensus").withColumnRenamed("grp", "a")
+        away = _with_centre(rest.select(F.col("grp").alias("a"), F.col("id").alias("b")), heads, sets, _departures(sent), "grp long, id long, n long, away array<long>")
+        away = written(away, "departures")
+        certain, keys = dealt_anew(away, percent, scratch)
+        contracted(written(certain, "links"))
+        keys = written(keys.distinct(), "keys")
+        scratch.drop(sets, away)
+        # Keys with the same members are one: as many, and with the same sums of two hashes.
+        same = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("m > 1")
+        one = written(same.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "one")
+        members = written(keys.join(one, "key").select("key", "id", F.col("key").alias("grp")), "members")
     where = nodes.select("set_id", F.col("id")).join(now, "id", "left").select("set_id", F.coalesce("component", "id").alias("node"))
     where = written(where.join(nodes.select(F.col("id").alias("node"), F.col("first.id").alias("component")), "node").select("set_id", "component"), "components")
     scratch.keep(sig, where)

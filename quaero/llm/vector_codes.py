@@ -61,7 +61,7 @@ class Codebook:
             self.order = sorted(range(len(entries)), key=lambda i: (norms[i], i))
             self.norms = [norms[i] for i in self.order]
         else:
-            c = np.array(entries, kind).reshape(len(entries), -1)
+            c = np.array(entries, kind).reshape(len(entries), len(entries[0]) if entries else 0)
             squares = (c * c).sum(1)
             self.order = np.argsort(squares, kind="stable")
             self.sorted, self.squares = c[self.order], squares[self.order]
