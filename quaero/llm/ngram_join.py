@@ -37,6 +37,7 @@ gives an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_dedup import LAST_ID, Shingler, _sign, _utf8, class_of, classes_of
+from .near_dedup import LAST_ID, Shingler, _sign, _utf8
 from .shared import Scratch, connected_components, shuffle_partitions, small_batches, small_side
 
 ORDERS = 3
@@ -313,7 +314,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
     sets of size-word shingles (of the whole text where it has fewer words);
     a component is what links reach, named by its smallest doc_id.
     """
-    spark, scratch, t = docs.sparkSession, Scratch(docs.sparkSession), percent / 100
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     written = scratch.written
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), _sign(F.col("text")).alias("sign"), "text")
     tables = sketch(docs, size)
@@ -322,13 +323,14 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
     # Numbered in the order of their first rows, so the smallest node of a component has its smallest doc_id.
     nodes = written(written(grouped, "nodes").orderBy("first.id", "first.sign", "set_id").withColumn("id", F.monotonically_increasing_id()), "nodes")
     others = [f"p{k}" for k in range(ORDERS)]
-    fit = written(sig.filter("p0 IS NOT NULL").select("row", *others).join(nodes.select(F.col("first.row").alias("row"), "id", "n"), "row").drop("row"), "prefixes")
-
-    @F.pandas_udf("array<int>")
-    def classes(n: pd.Series) -> pd.Series:
-        return n.map(lambda x: list(classes_of(x, t)))
-
-    keys = written(fit.select("id", F.explode("p0").alias("p"), "n").withColumn("cls", F.explode(classes("n"))).select(F.xxhash64("p", "cls").alias("key"), "id"), "keys")
+    n_nodes = nodes.count()
+    first = small_side(nodes.select(F.col("first.row").alias("row"), "id", "n"), n_nodes, 32)
+    fit = written(sig.filter("p0 IS NOT NULL").select("row", *others).join(first, "row").drop("row"), "prefixes")
+
+    # Size classes three times as wide as what linked sizes differ by: the own one, and for a third of the sets the one below.
+    cls = lambda n: F.floor(F.log(n) / F.lit(-3 * math.log(percent / 100)) if percent < 100 else n)
+    sizes = F.explode(F.sequence(cls(F.ceil(F.col("n") * percent / 100)), cls(F.col("n"))))
+    keys = written(fit.select("id", "n", F.explode("p0").alias("p")).select("id", "p", sizes.alias("cls")).select(F.xxhash64("p", "cls").alias("key"), "id"), "keys")
     sent = spark.sparkContext.broadcast(tables)
     links = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     now, n_now = nodes.select("id", F.col("id").alias("component")).limit(0), 0
@@ -351,7 +353,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
             now = connected_components(links, scratch)
             n_now = now.count()
 
-    side = lambda x: fit.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(p).alias(f"{p}{x}") for p in others[1:]])
+    side = lambda x: fit.select(F.col("id").alias(x), *[F.col(p).alias(f"{p}{x}") for p in others[1:]])
     centres = written(keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "centres")
     members = written(keys.join(centres, "key"), "members")
     ids = written(members.select("id").distinct(), "needed")
@@ -361,7 +363,10 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
     texts = texts if texts.count() == n_ids else written(texts.dropDuplicates(["id"]), "texts")  # rows that repeat doc_id and text
 
     pairs = members.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    n_of = lambda x: small_side(nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}")), n_nodes, 24)
+    pairs = pairs.join(n_of("a"), "a").join(n_of("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
+    pairs = written(pairs, "pairs")
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
     for p in others[1:]:
         near = near.filter(F.arrays_overlap(f"{p}a", f"{p}b"))
     near = written(near.select("a", "b"), "candidates")
