@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import extract, graph, limits, search, similarity
+from ..operators.verify import BASE_SCORES
+from ..operators.verify import ladder as status
+from ..operators.verify import score as status_score
 from . import duck as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,23 +286,9 @@ def search_browse(spark, d):
 
 # ---------------------------------------------------------------- verification
 
-# The statuses in order of severity and their base scores.
+# The statuses in order of severity.
 _STATUS = ("NO_AUTHORITATIVE_MATCH", "METADATA_MISMATCH", "PARAGRAPH_MISMATCH", "WEAK_PROPOSITION_SUPPORT", "NEEDS_REVIEW", "VERIFIED")
-_BASE = {"VERIFIED": 0.94, "METADATA_MISMATCH": 0.38, "PARAGRAPH_MISMATCH": 0.42, "WEAK_PROPOSITION_SUPPORT": 0.55, "NO_AUTHORITATIVE_MATCH": 0.05, "NEEDS_REVIEW": 0.6}
-
-
-def status(resolved, coverage, fuzzy, mismatch, quote_bad, para_missing, has_text, weak, supported) -> F.Column:
-    """The first finding that holds decides."""
-    return (
-        F.when(~resolved, "NO_AUTHORITATIVE_MATCH").when(coverage, "NEEDS_REVIEW").when(fuzzy | mismatch, "METADATA_MISMATCH")
-        .when(quote_bad | para_missing, "PARAGRAPH_MISMATCH").when(~has_text, "NEEDS_REVIEW").when(weak, "WEAK_PROPOSITION_SUPPORT")
-        .when(~supported, "NEEDS_REVIEW").otherwise("VERIFIED")
-    )
-
-
-def status_score(name: F.Column, sim: F.Column) -> F.Column:
-    base = F.coalesce(*[F.when(name == k, F.lit(v)) for k, v in _BASE.items()])
-    return F.round(base + F.when(name == "VERIFIED", F.least(F.lit(0.06), sim / 10)).otherwise(0.0), 3)
+_BASE = BASE_SCORES
 
 
 _LADDER = "CASE WHEN NOT b0 THEN 'NO_AUTHORITATIVE_MATCH' WHEN b1 THEN 'NEEDS_REVIEW' WHEN b2 OR b3 THEN 'METADATA_MISMATCH' WHEN b4 OR b5 THEN 'PARAGRAPH_MISMATCH' WHEN NOT b6 THEN 'NEEDS_REVIEW' WHEN b7 THEN 'WEAK_PROPOSITION_SUPPORT' WHEN NOT b8 THEN 'NEEDS_REVIEW' ELSE 'VERIFIED' END"

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from conftest import same
 
-from quaero.plans import catalog, evidence  # noqa: F401  evidence adds its queries to the catalogue
+from quaero.plans import catalog, evidence, verification  # noqa: F401  the others add their queries to the catalogue
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
