@@ -292,13 +292,14 @@ _BASE = BASE_SCORES
 
 
 _LADDER = "CASE WHEN NOT b0 THEN 'NO_AUTHORITATIVE_MATCH' WHEN b1 THEN 'NEEDS_REVIEW' WHEN b2 OR b3 THEN 'METADATA_MISMATCH' WHEN b4 OR b5 THEN 'PARAGRAPH_MISMATCH' WHEN NOT b6 THEN 'NEEDS_REVIEW' WHEN b7 THEN 'WEAK_PROPOSITION_SUPPORT' WHEN NOT b8 THEN 'NEEDS_REVIEW' ELSE 'VERIFIED' END"
-_BITS = "SELECT i, " + ", ".join(f"(i >> {k}) % 2 = 1 AS b{k}" for k in range(9)) + " FROM (SELECT CAST(range AS INT) AS i FROM range(512))"
+_BITS = "SELECT event_id, " + ", ".join(f"((event_id * 37 + user_id) >> {k}) % 2 = 1 AS b{k}" for k in range(9)) + " FROM events"
 
 
-@query(f"SELECT CAST(i AS BIGINT) AS i, {_LADDER} AS status FROM ({_BITS})")
+@query(f"SELECT event_id, {_LADDER} AS status FROM ({_BITS})")
 def status_ladder(spark, d):
-    rows = spark.range(512)
-    return rows.select(F.col("id").alias("i"), status(*[(F.shiftright("id", k) % 2) == 1 for k in range(9)]).alias("status"))
+    """Every combination of findings, dealt over the events."""
+    bits = F.col("event_id") * 37 + F.col("user_id")
+    return t(spark, d, "events").select("event_id", status(*[(F.shiftright(bits, k) % 2) == 1 for k in range(9)]).alias("status"))
 
 
 @query("SELECT item, status, round(CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _BASE.items()) + " END + CASE WHEN status = 'VERIFIED' THEN least(0.06, sim / 10) ELSE 0 END + 1e-12, 3) AS score FROM (SELECT event_id AS item, " + "CASE event_id % 6 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_STATUS)) + " END AS status, (event_id % 11) / 10.0 AS sim FROM events)")

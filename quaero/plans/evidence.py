@@ -300,11 +300,11 @@ def paragraph_lookup(spark, d):
     return w.join(hit, ["doc_id", "cited"], "left").join(fallback, "doc_id", "left").select("doc_id", "cited", F.coalesce("hit", F.lit(False)).alias("has_number"), location.alias("location"), "fallback")
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CASE WHEN i % 2 = 0 AND i >= 90 THEN 'PASS' WHEN i / 100.0 >= 0.85 AND (i % 10) / 10.0 >= 0.45 THEN 'PARTIAL' WHEN i / 100.0 >= 0.62 THEN 'FAIL_WITH_MATCH' ELSE 'FAIL' END AS quotation, CASE WHEN i / 100.0 >= 0.28 THEN 'SUPPORTED' WHEN i / 100.0 < 0.24 THEN 'WEAK' ELSE 'UNCERTAIN' END AS proposition FROM (SELECT range AS i FROM range(101))")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN exact THEN 'PASS' WHEN share >= 0.85 AND run >= 0.45 THEN 'PARTIAL' WHEN share >= 0.62 THEN 'FAIL_WITH_MATCH' ELSE 'FAIL' END AS quotation, CASE WHEN share >= 0.28 THEN 'SUPPORTED' WHEN share < 0.24 THEN 'WEAK' ELSE 'UNCERTAIN' END AS proposition FROM (SELECT l_orderkey, l_linenumber, round(l_quantity / 50, 4) AS share, round(l_tax * 10, 4) AS run, l_discount = 0 AS exact FROM lineitem)")
 def outcome_thresholds(spark, d):
-    """What scores from 0 to 1 mean to the quotation and proposition checks."""
-    i = F.col("id")
-    return spark.range(101).select(i.alias("i"), evidence.quotation_outcome((i % 2 == 0) & (i >= 90), i / 100.0, (i % 10) / 10.0).alias("quotation"), evidence.proposition_outcome(i / 100.0).alias("proposition"))
+    """What scores mean to the quotation and proposition checks; the checks themselves are in verify_brief."""
+    share, run = F.round(F.col("l_quantity") / 50, 4), F.round(F.col("l_tax") * 10, 4)
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", evidence.quotation_outcome(F.col("l_discount") == 0, share, run).alias("quotation"), evidence.proposition_outcome(share).alias("proposition"))
 
 
 # ---------------------------------------------------------------- graph views (G-2-G-4, G-6, P11, T2)
