@@ -23,8 +23,8 @@ filter again, on the small sets D. At most half of the members share a
 departure, so a round at least halves a key, and texts of one template that do
 not link soon are apart, however many they are.
 
-Nodes are the distinct sets, so copies make no pairs. Texts of members of shared
-keys are written once; rounds read sets of what they verify. Everything grows
+Nodes are the distinct sets, so copies make no pairs. Rounds make the sets of what
+they verify from the texts. Everything grows
 with the rows, besides two byte tables of 2 ** SKETCH_LOG2 that are sent to the
 tasks. Shingles are compared as 64-bit hashes.
 
@@ -248,6 +248,35 @@ def _among(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("grp", "id", "component", "hashes").mapInPandas(run, "a long, b long")
 
 
+def _with_partner(groups: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """groups(grp, id, component), prefixes(id, n, p1, ..) -> its rows (grp, id) that have someone of another component in their group whose
+    size allows a link and whose prefix meets theirs under every further order. Prefixes are a tenth of the sets."""
+    names = [f"p{k}" for k in range(1, ORDERS)]
+    rows = groups.join(prefixes.select("id", "n", *names), "id").repartition(shuffle_partitions(groups.sparkSession), "grp").sortWithinPartitions("grp", "id")
+
+    def kept(group: list[tuple]) -> list[tuple]:
+        use = set()
+        for j, (_, b, cb, nb, *pb) in enumerate(group):
+            for _, a, ca, na, *pa_ in group[:j]:
+                if ca != cb and 100 * min(na, nb) >= percent * max(na, nb) and not any(x.isdisjoint(y) for x, y in zip(pa_, pb, strict=True)):
+                    use |= {a, b}
+        return [(group[0][0], i) for i in sorted(use)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for pdf in batches:
+            out: list[tuple] = []
+            for grp, i, component, n, *ps in pdf.itertuples(index=False):
+                if held and held[0][0] != grp:
+                    out += kept(held)
+                    held = []
+                held.append((grp, i, component, n, *(frozenset(p.tolist()) for p in ps)))
+            yield pd.DataFrame(out, columns=["grp", "id"], dtype="int64")
+        yield pd.DataFrame(kept(held) if held else [], columns=["grp", "id"], dtype="int64")
+
+    return rows.select("grp", "id", "component", "n", *names).mapInPandas(run, "grp long, id long")
+
+
 def consensus(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """groups(grp, id), sets(id, hashes) -> grp, hashes: those that more than half of its members have, the most common first."""
 
@@ -325,7 +354,8 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
     others = [f"p{k}" for k in range(ORDERS)]
     n_nodes = nodes.count()
     first = small_side(nodes.select(F.col("first.row").alias("row"), "id", "n"), n_nodes, 32)
-    fit = written(sig.filter("p0 IS NOT NULL").select("row", *others).join(first, "row").drop("row"), "prefixes")
+    fit = sig.filter("p0 IS NOT NULL").select("row", *others).join(first, "row").drop("row")
+    fit = fit if n_nodes * 32 <= 16 << 20 else written(fit, "prefixes")  # beyond a broadcast, joined once
 
     # Size classes three times as wide as what linked sizes differ by: the own one, and for a third of the sets the one below.
     cls = lambda n: F.floor(F.log(n) / F.lit(-3 * math.log(percent / 100)) if percent < 100 else n)
@@ -342,9 +372,12 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
 
     def sets_of(ids: DataFrame) -> DataFrame:
         ids = written(ids.distinct(), "needed")
-        sets = written(full_sets(texts.join(small_side(ids, ids.count(), 16), "id"), size), "full-sets")
+        n = ids.count()
+        of = nodes.join(small_side(ids, n, 16), "id").select(F.col("id").alias("node"), F.col("first.id").alias("id"), F.col("first.sign").alias("sign"))
+        texts = rows.join(small_side(of, n, 64), ["id", "sign"]).select(F.col("node").alias("id"), "text")
+        sets = written(full_sets(texts, size), "full-sets")
         scratch.drop(ids)
-        return sets
+        return sets if sets.count() == n else written(sets.dropDuplicates(["id"]), "full-sets")  # rows that repeat doc_id and text
 
     def contracted(found: DataFrame) -> None:
         nonlocal links, now, n_now
@@ -356,12 +389,6 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
     side = lambda x: fit.select(F.col("id").alias(x), *[F.col(p).alias(f"{p}{x}") for p in others[1:]])
     centres = written(keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "centres")
     members = written(keys.join(centres, "key"), "members")
-    ids = written(members.select("id").distinct(), "needed")
-    n_ids = ids.count()
-    of = nodes.join(small_side(ids, n_ids, 16), "id").select(F.col("id").alias("node"), F.col("first.id").alias("id"), F.col("first.sign").alias("sign"))
-    texts = written(rows.join(small_side(of, n_ids, 64), ["id", "sign"]).select(F.col("node").alias("id"), "text"), "texts")
-    texts = texts if texts.count() == n_ids else written(texts.dropDuplicates(["id"]), "texts")  # rows that repeat doc_id and text
-
     pairs = members.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     n_of = lambda x: small_side(nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}")), n_nodes, 24)
     pairs = pairs.join(n_of("a"), "a").join(n_of("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
@@ -375,6 +402,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
         contracted(written(_with_centre(near, sets.withColumnRenamed("id", "a"), sets, _linked(percent), "a long, b long"), "links"))
         scratch.drop(sets)
     # Centres are done; what is left of the keys of one centre is one group if large.
+    done = [keys, centres, members, pairs, near]
     members = members.filter("m > 2 AND id <> a").select("key", "id", F.col("a").alias("grp"))
     while True:
         several = placed(members, "id", "component").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
@@ -383,12 +411,15 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
         large = written(large.select("key"), "large")
         lists = apart.join(large, "key", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
         groups = written(lists.withColumn("grp", F.monotonically_increasing_id()).select("grp", F.explode("ids").alias("id")), "groups")
+        scratch.drop(*done)
         if groups.limit(1).count():
+            lists, groups = groups, written(_with_partner(placed(groups, "id", "component"), fit, percent), "partners")
+            scratch.drop(lists)
             sets = sets_of(groups.select("id"))
             contracted(written(_among(placed(groups, "id", "component"), sets, percent), "links"))
             scratch.drop(sets)
         rest = written(apart.join(large, "key", "left_semi").select("grp", "id").distinct(), "rest")
-        scratch.drop(apart, large, groups, keys)
+        scratch.drop(apart, large, groups)
         if not rest.limit(1).count():
             break
         sets = sets_of(rest.select("id"))
@@ -403,6 +434,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
         same = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("m > 1")
         one = written(same.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "one")
         members = written(keys.join(one, "key").select("key", "id", F.col("key").alias("grp")), "members")
+        done = [rest, keys, one, members]
     where = nodes.select("set_id", F.col("id")).join(now, "id", "left").select("set_id", F.coalesce("component", "id").alias("node"))
     where = written(where.join(nodes.select(F.col("id").alias("node"), F.col("first.id").alias("component")), "node").select("set_id", "component"), "components")
     scratch.keep(sig, where)
