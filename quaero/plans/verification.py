@@ -54,9 +54,6 @@ def _paragraphs(spark, d) -> DataFrame:
     return lines.filter(T.norm_paragraph(F.col("text")) != "").select("ord", "pos", (F.col("pos") + 1).cast("string").alias("number"), "text", (F.length("text") > 200).alias("is_ratio"))
 
 
-_BLANKS = r"[ \t\r\x0B\x0C ]+"
-
-
 def _first_line(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line: the first line long enough to be quoted, without quotation marks."""
     lines = docs.select("doc_id", F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.trim(F.regexp_replace(F.translate(x, '"“”', ""), r"[ \t\r\x0B\x0C]+", " ")).alias("line"))), lambda x: F.length(x["line"]) >= LEAST_LINE).alias("lines"))
