@@ -19,14 +19,19 @@ texts. Equal sets are one node from the start, so copies make no pairs.
 Buckets need no cap. First everyone in a bucket meets only its smallest member,
 and links contract into components. In a bucket that still holds several,
 members meet in blocks of bounded size inside a task. A component that fills
-blocks has them to itself, and its blocks never meet one another, so a bucket of
-n near copies and s others sends about n * s / BLOCK rows, not n * n / BLOCK.
+blocks has them to itself, and its blocks never meet one another, so n near
+copies and the s others of a bucket that fit one block send about 2 * n rows. Larger
+buckets, those with more than a block of members outside their largest component, are
+dealt anew first: buckets with common members form a group, and its members meet again
+only where they depart from what most of the group has in common (departures.py),
+exactly, on full sets, until every key is small. Texts of one template that
+do not link share hardly any departures, so they are apart after one round.
 A meeting puts out a spanning forest: for components that its estimates
 connect, one pair less than there are components. Those pairs are confirmed on
 full sets and contract. What the estimates still connect across components is
-a cluster, in which every pair that passes the estimate is compared on its full
+a cluster, dealt anew likewise if it is large, in which every pair that passes the estimate is compared on its full
 sets; again a task puts out fewer links than it has components. Nothing is
-sampled or cut off, and no table of pairs grows with the square of a bucket.
+sampled or cut off, and no table grows with the square of a bucket.
 
 Nodes are the distinct sets, whatever doc_ids their rows have: a doc_id that is
 null or repeated joins nothing. It only names the component and orders its rows,
@@ -54,6 +59,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .departures import dealt_by_departures
 from .shared import Scratch, connected_components, shuffle_partitions, small_side, unused
 
 BUCKETS_LOG2, MANTISSA = 7, 10
@@ -420,6 +426,11 @@ def _clusters(maybe: DataFrame, nodes: DataFrame, apart: DataFrame, now: DataFra
     return _open(rows.select(F.xxhash64("cluster", "cls").alias("key"), "id", "component"))
 
 
+def _weight() -> Column:
+    """What of a block a full set takes."""
+    return F.greatest(F.lit(1 / BLOCK), F.col("n_shingles") / BLOCK_SHINGLES)
+
+
 def _links_in_blocks(apart: DataFrame, members: DataFrame, t: float, percent: int, scratch: Scratch) -> DataFrame:
     """apart(key, id, component), members(id, n_shingles, regs, hashes) -> (a, b): links that join all
     components with a link between them under a key. Every pair that the estimate lets pass is
@@ -453,8 +464,7 @@ def _links_in_blocks(apart: DataFrame, members: DataFrame, t: float, percent: in
             mark[at[ends[i] : ends[i + 1]]] = 0
         return out
 
-    weight = F.greatest(F.lit(1 / BLOCK), F.col("n_shingles") / BLOCK_SHINGLES)
-    return _by_task(_tasks(apart, members, weight, scratch), compare, "a long, b long").distinct()
+    return _by_task(_tasks(apart, members, _weight(), scratch), compare, "a long, b long").distinct()
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -471,6 +481,13 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, hashes binary")
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def _sign(text: Column) -> Column:
     """Tells the texts of a doc_id apart; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
@@ -526,20 +543,45 @@ def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     links = written(confirmed(pairs), "links")
     now = components(links)
-    apart = written(_open(written(several.join(now, "id", "left").withColumn("component", F.coalesce("component", "id")), "apart")), "apart")
-    maybe = written(_forest(apart, nodes, t, scratch), "maybe")
-    if maybe.limit(1).count():
-        found = written(confirmed(maybe.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")), "links")
+
+    def contracted(found: DataFrame) -> None:
+        nonlocal links, now
         if found.limit(1).count():
             links = written(links.unionByName(found), "links")
             now = components(links)
-        apart = written(_clusters(maybe, nodes, apart, now, t, scratch), "clusters")
+
+    def open_keys(keys: DataFrame) -> DataFrame:
+        """keys(key, id) that hold several components, with these."""
+        return written(_open(written(keys.join(now, "id", "left").withColumn("component", F.coalesce("component", "id")), "apart")), "apart")
+
+    def dealt(apart: DataFrame, weight: Column) -> DataFrame:
+        """apart(key, id, component), but keys whose members outside their largest component weigh more than a block are dealt anew."""
+        small, sets = [], None
+        while True:
+            parts = apart.join(nodes.select("id", weight.alias("weight")), "id").groupBy("key", "component").agg(F.sum("weight").alias("n"))
+            large = written(parts.groupBy("key").agg((F.sum("n") - F.max("n")).alias("others")).filter("others > 1").select("key"), "large")
+            if not large.limit(1).count():
+                return written(_union([*small, apart]), "apart") if small else apart
+            small.append(apart.join(large, "key", "left_anti"))
+            rest = apart.join(large, "key", "left_semi").select("key", "id")
+            if sets is None:  # a template fills many buckets with nearly the same members: they are one group
+                meet = rest.join(rest.groupBy("key").agg(F.min("id").alias("a")), "key").select("a", F.col("id").alias("b")).distinct()
+                groups = connected_components(meet, scratch).select(F.col("component").alias("grp"), "id")
+                sets = written(_sets(texts_of(groups.select("id")), size), "full-sets")
+            else:
+                groups = rest.withColumnRenamed("key", "grp")
+            certain, keys = dealt_by_departures(written(groups, "groups"), sets, percent, scratch)
+            contracted(certain)
+            apart = open_keys(keys)
+
+    apart = dealt(open_keys(several), F.lit(1 / BLOCK))
+    maybe = written(_forest(apart, nodes, t, scratch), "maybe")
+    if maybe.limit(1).count():
+        contracted(written(confirmed(maybe.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")), "links"))
+        apart = dealt(written(_clusters(maybe, nodes, apart, now, t, scratch), "clusters"), _weight())
         sets = _sets(texts_of(apart.select("id")), size)
         full = written(nodes.select("id", "n_shingles", "regs").join(sets, "id"), "sets")
-        found = written(_links_in_blocks(apart, full, t, percent, scratch), "links")
-        if found.limit(1).count():
-            links = written(links.unionByName(found), "links")
-            now = components(links)
+        contracted(written(_links_in_blocks(apart, full, t, percent, scratch), "links"))
     where = nodes.select("set_id", "id").join(now, "id", "left").select("set_id", F.coalesce("component", "id").alias("node"))
     first = nodes.select(F.col("id").alias("node"), F.col("first.id").alias("component"), F.col("first.row").alias("first_row"))
     where = written(where.join(first, "node").select("set_id", "component", "first_row"), "components")

@@ -15,7 +15,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quaero.llm import chat, exact_dedup, mixing, near_dedup, ordinal, piece_tokens, quality_rules, token_store, url_rules, warc
+from quaero.llm import chat, departures, exact_dedup, mixing, near_dedup, ordinal, piece_tokens, quality_rules, token_store, url_rules, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, id string"
 WS = re.compile(r"[\x20\x09-\x0D]+")
@@ -225,6 +225,34 @@ def test_buckets_of_more_than_one_block(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 3, 85)
 
 
+def test_templates_that_do_not_link_send_rows_in_proportion(spark, monkeypatch):
+    """Each text is 12 of 300 words away from one base: no pair is linked, many pass the estimate."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    sent = []
+    for module, name in ((near_dedup, "_by_task"), (departures, "_with_centre")):
+        whole = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda rows, *a, whole=whole: sent.append(rows.count()) or whole(rows, *a))
+    counts = []
+    for n in (150, 300, 600):
+        sent.clear()
+        got = near_dedup.near_components(documents(spark, [(i, near(BASE, 12, i)) for i in range(n)]), 3, 85).collect()
+        assert len(got) == n and all(r["kept"] for r in got)
+        counts.append(sum(sent))
+    assert counts[1] <= 2.2 * counts[0] + 100 and counts[2] <= 2.2 * counts[1] + 100, counts
+
+
+def test_dealt_buckets_lose_no_link(spark, monkeypatch):
+    """Small groups of near copies inside one template, larger than a block: equal to brute force."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 6)
+    rows = [(i, near(BASE, 12, i)) for i in range(40)]
+    rows += [(100 + 10 * i + j, near(near(BASE, 10, 50 + i), 2, 200 + 10 * i + j)) for i in range(8) for j in range(4)]
+    rows += [(300 + i, near(BASE, 4, 400 + i)) for i in range(20)]
+    got = near_dedup.near_components(documents(spark, rows), 3, 85).collect()
+    want = brute_components(rows, 3, 85)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    assert len({c for _, _, c in want}) > 20
+
+
 def test_near_dedup_keeps_texts_without_ids_of_their_own_apart(spark):
     far = [prose(200, 900 + i) for i in range(8)]
     rows = [(None, far[0]), (None, far[1]), (None, far[1]), (None, None), (None, " "), (7, far[2]), (7, far[3]), (7, near(far[3], 2, 1)), (8, near(far[2], 2, 2)),
