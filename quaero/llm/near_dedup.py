@@ -575,13 +575,14 @@ def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
             apart = open_keys(keys)
 
     apart = dealt(open_keys(several), F.lit(1 / BLOCK))
-    maybe = written(_forest(apart, nodes, t, scratch), "maybe")
-    if maybe.limit(1).count():
+    maybe = written(_forest(apart, nodes, t, scratch), "maybe") if apart.limit(1).count() else None
+    if maybe and maybe.limit(1).count():
         contracted(written(confirmed(maybe.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")), "links"))
         apart = dealt(written(_clusters(maybe, nodes, apart, now, t, scratch), "clusters"), _weight())
-        sets = _sets(texts_of(apart.select("id")), size)
-        full = written(nodes.select("id", "n_shingles", "regs").join(sets, "id"), "sets")
-        contracted(written(_links_in_blocks(apart, full, t, percent, scratch), "links"))
+        if apart.limit(1).count():
+            sets = _sets(texts_of(apart.select("id")), size)
+            full = written(nodes.select("id", "n_shingles", "regs").join(sets, "id"), "sets")
+            contracted(written(_links_in_blocks(apart, full, t, percent, scratch), "links"))
     where = nodes.select("set_id", "id").join(now, "id", "left").select("set_id", F.coalesce("component", "id").alias("node"))
     first = nodes.select(F.col("id").alias("node"), F.col("first.id").alias("component"), F.col("first.row").alias("first_row"))
     where = written(where.join(first, "node").select("set_id", "component", "first_row"), "components")
