@@ -129,3 +129,9 @@ def test_checks_behind_the_statuses(checked):
     assert [checked[i]["quotation_check"] for i in (1, 3, 13, 14, 16, 10, 5)] == ["PASS", "FAIL", "PARTIAL", "PASS", "FAIL_WITH_MATCH", "SKIPPED", "SKIPPED"]
     assert (checked[4]["location_check"], checked[2]["paragraph_check"], checked[7]["method"], checked[15]["method"]) == ("FAIL", "FAIL", "FUZZY_TITLE", "EXACT_CITATION")
     assert checked[1]["score"] == 1.0 and checked[15]["score"] == 0.94 and checked[8]["score"] == 0.05 and checked[8]["near_misses"] == []
+
+
+def test_titles_of_single_letters_are_alike_by_their_tokens(spark):
+    rows = spark.createDataFrame([(1, "A B"), (2, "C D"), (3, "Alpha Traders")], "ord long, title string")
+    got = {(r["claim"], r["ord"]): r["sim"] for r in verify.title_candidates(rows.withColumnRenamed("ord", "claim"), rows, 0.45).collect()}
+    assert got == {(1, 1): 1.0, (2, 2): 1.0, (3, 3): 1.0, (1, 2): 0.5, (2, 1): 0.5}
