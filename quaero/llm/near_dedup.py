@@ -60,7 +60,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .departures import dealt_by_departures
-from .shared import Scratch, connected_components, shuffle_partitions, small_side, unused
+from .shared import Scratch, connected_components, contracted, shuffle_partitions, small_side, unused
 
 BUCKETS_LOG2, MANTISSA = 7, 10
 REGISTERS = 1 << BUCKETS_LOG2
@@ -416,7 +416,7 @@ def _open(apart: DataFrame) -> DataFrame:
 def _clusters(maybe: DataFrame, nodes: DataFrame, apart: DataFrame, now: DataFrame, t: float, scratch: Scratch) -> DataFrame:
     """maybe(ca, cb), now(id, component) -> (key, id, component): the members of components that maybe connects, with the
     component that they are in now, once for each size class in which they can be linked."""
-    cluster = connected_components(maybe.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch)
+    cluster = connected_components(maybe.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), scratch)  # many keys hold the same two
     of = apart.select("id", "component").distinct()
     rows = of.join(cluster.select(F.col("id").alias("component"), F.col("component").alias("cluster")), "component").select("id", "cluster")
     rows = rows.join(now, "id", "left").join(nodes.select("id", "n_shingles"), "id").withColumn("component", F.coalesce("component", "id"))
@@ -541,14 +541,12 @@ def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def components(links: DataFrame) -> DataFrame:
         return connected_components(links, scratch) if links.limit(1).count() else nodes.select("id", F.col("id").alias("component")).limit(0)
 
-    links = written(confirmed(pairs), "links")
-    now = components(links)
+    now = components(written(confirmed(pairs), "links"))
 
-    def contracted(found: DataFrame) -> None:
-        nonlocal links, now
+    def contract(found: DataFrame) -> None:
+        nonlocal now
         if found.limit(1).count():
-            links = written(links.unionByName(found), "links")
-            now = components(links)
+            now = contracted(now, found, scratch)
 
     def open_keys(keys: DataFrame) -> DataFrame:
         """keys(key, id) that hold several components, with these."""
@@ -571,18 +569,18 @@ def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
             else:
                 groups = rest.withColumnRenamed("key", "grp")
             certain, keys = dealt_by_departures(written(groups, "groups"), sets, percent, scratch)
-            contracted(certain)
+            contract(certain)
             apart = open_keys(keys)
 
     apart = dealt(open_keys(several), F.lit(1 / BLOCK))
     maybe = written(_forest(apart, nodes, t, scratch), "maybe") if apart.limit(1).count() else None
     if maybe and maybe.limit(1).count():
-        contracted(written(confirmed(maybe.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")), "links"))
+        contract(written(confirmed(maybe.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")), "links"))
         apart = dealt(written(_clusters(maybe, nodes, apart, now, t, scratch), "clusters"), _weight())
         if apart.limit(1).count():
             sets = _sets(texts_of(apart.select("id")), size)
             full = written(nodes.select("id", "n_shingles", "regs").join(sets, "id"), "sets")
-            contracted(written(_links_in_blocks(apart, full, t, percent, scratch), "links"))
+            contract(written(_links_in_blocks(apart, full, t, percent, scratch), "links"))
     where = nodes.select("set_id", "id").join(now, "id", "left").select("set_id", F.coalesce("component", "id").alias("node"))
     first = nodes.select(F.col("id").alias("node"), F.col("first.id").alias("component"), F.col("first.row").alias("first_row"))
     where = written(where.join(first, "node").select("set_id", "component", "first_row"), "components")

@@ -170,3 +170,22 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
             if scratch:
                 scratch.tables += own.tables
             return labels
+
+
+def contracted(now: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """now(id, component), more (a, b) links -> (id, component): the components that these links join too.
+
+    Only links between different components count, and of these one for each two components. Ids that now has not are components of their own.
+    """
+    of = lambda x: now.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    ends = [F.coalesce(f"c{x}", x) for x in "ab"]
+    roots = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+    roots = scratch.written(roots.filter("a <> b").distinct(), "roots")
+    if not roots.limit(1).count():
+        scratch.drop(roots)
+        return now
+    up = connected_components(roots, scratch)
+    moved = now.join(up.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    out = scratch.written(moved.unionByName(up.join(now.select("id"), "id", "left_anti")), "labels")
+    scratch.drop(roots)
+    return out
