@@ -1,6 +1,9 @@
 """Detection and verification on hard texts; the queries over whole tables are in test_catalog."""
 
 import itertools
+import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +138,26 @@ def test_titles_of_single_letters_are_alike_by_their_tokens(spark):
     rows = spark.createDataFrame([(1, "A B"), (2, "C D"), (3, "Alpha Traders")], "ord long, title string")
     got = {(r["claim"], r["ord"]): r["sim"] for r in verify.title_candidates(rows.withColumnRenamed("ord", "claim"), rows, 0.45).collect()}
     assert got == {(1, 1): 1.0, (2, 2): 1.0, (3, 3): 1.0, (1, 2): 0.5, (2, 1): 0.5}
+
+
+def test_propositions_whose_cosine_is_above_all_containments(spark):
+    """Norms are made of few paragraphs only; the best is the same as with all of them. The words of paragraphs are not written."""
+    rng = random.Random(6)
+    norms = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 2) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    props = [" ".join(rng.choice("abcdefghijz") * rng.randint(1, 2) for _ in range(rng.randint(1, 9))) for _ in range(30)]
+    paragraphs = spark.createDataFrame([(i % 3, i, x) for i, x in enumerate(norms)], "ord int, pos int, norm string")
+    said = spark.createDataFrame([(i, i % 3, None, x) for i, x in enumerate(props)], "claim int, ord int, quotation string, proposition string")
+    _, got = verify.passages(said, paragraphs)
+    df = Counter(w for x in norms for w in set(x.split()))
+    weight = lambda w: math.log((len(norms) + 1) / (df[w] + 1)) + 1 if w in df else math.log(len(df) + 1) + 1
+    want = {}
+    for i, x in enumerate(props):
+        nw = {w: n * weight(w) for w, n in Counter(x.split()).items()}
+        for pos, hay in ((p, Counter(y.split())) for p, y in enumerate(norms) if p % 3 == i % 3):
+            hw = {w: n * weight(w) for w, n in hay.items()}
+            both = nw.keys() & hw.keys()
+            cosine = sum(nw[w] * hw[w] for w in both) / math.sqrt(sum(v * v for v in nw.values()) * sum(v * v for v in hw.values()))
+            score = round(max(sum(nw[w] for w in both) / sum(nw.values()), cosine), 9)
+            if both and score > want.get(i, (0, 0))[1]:
+                want[i] = (pos, score)
+    assert {r["claim"]: (r["prop_pos"], r["support"]) for r in got.collect()} == want
