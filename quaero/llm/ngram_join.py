@@ -24,7 +24,7 @@ departure, so a round at least halves a key, and texts of one template that do
 not link soon are apart, however many they are.
 
 Nodes are the distinct sets, so copies make no pairs. Rounds make the sets of what
-they verify from the texts. Everything grows
+they verify where they read the texts, and send them once, to the tasks that compare them. Everything grows
 with the rows, besides two byte tables of 2 ** SKETCH_LOG2 that are sent to the
 tasks. Shingles are compared as 64-bit hashes.
 
@@ -133,6 +133,34 @@ def full_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, hashes binary")
 
 
+#: Bytes of sets that are put out at a time.
+DEALT = 1 << 22
+
+
+def dealt_sets(texts: DataFrame, size: int) -> DataFrame:
+    """texts(text, places) -> x, y, z, hashes: the set of each text at each of its places (x, y, z)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sh, held, n = Shingler(size), [], 0
+
+        def out() -> pa.RecordBatch:
+            at = [pa.array([place[c] for place, _ in held], pa.int64()) for c in "xyz"]
+            return pa.RecordBatch.from_arrays([*at, pa.array([hashes for _, hashes in held], pa.binary())], ["x", "y", "z", "hashes"])
+
+        for batch in batches:
+            for text, places in zip(_utf8(batch.column("text")), batch.column("places"), strict=True):
+                hashes = sh.shingles(text).tobytes()
+                for place in places.as_py():
+                    held.append((place, hashes))
+                    n += len(hashes)
+                    if n > DEALT:
+                        yield out()
+                        held, n = [], 0
+        yield out()
+
+    return texts.select("text", "places").mapInArrow(run, "x long, y long, z long, hashes binary")
+
+
 def _linked(percent: int):
     def found(a: int, mine: np.ndarray, b: int, other: np.ndarray) -> list[tuple]:
         both = len(np.intersect1d(mine, other, assume_unique=True))
@@ -141,9 +169,9 @@ def _linked(percent: int):
     return found
 
 
-def _among(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """groups(grp, id, component), sets(id, hashes) -> (a, b): links that join all components of a group with a link between them."""
-    rows = groups.join(sets, "id").repartition(shuffle_partitions(groups.sparkSession), "grp").sortWithinPartitions("grp", "id")
+def _among(members: DataFrame, percent: int) -> DataFrame:
+    """members(grp, id, component, hashes) -> (a, b): links that join all components of a group with a link between them."""
+    rows = members.repartition(shuffle_partitions(members.sparkSession), "grp").sortWithinPartitions("grp", "id")
 
     def links(ids: list[int], roots: list[int], sets: list[np.ndarray]) -> list[tuple]:
         out = []
@@ -252,6 +280,16 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
         scratch.drop(ids)
         return sets if sets.count() == n else written(sets.dropDuplicates(["id"]), "full-sets")  # rows that repeat doc_id and text
 
+    repeats = sig.filter("n_shingles > 0").groupBy("id", "sign").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").limit(1).count() > 0
+
+    def dealt(places: DataFrame) -> DataFrame:
+        """places(node, x, y, z) -> x, y, z, hashes. Sets are made where the texts are read and sent from there: no table of them, no join."""
+        of = written(places.groupBy("node").agg(F.collect_list(F.struct("x", "y", "z")).alias("places")), "places")
+        n = of.agg(F.coalesce(F.sum(64 + 24 * F.size("places")), F.lit(0))).first()[0]
+        of = nodes.select(F.col("id").alias("node"), F.col("first.id").alias("id"), F.col("first.sign").alias("sign")).join(small_side(of, n, 1), "node")
+        texts = rows.join(small_side(of, n, 1), ["id", "sign"]).select("node", "text", "places")
+        return dealt_sets(texts.dropDuplicates(["node"]) if repeats else texts, size)
+
     def contracted(found: DataFrame) -> None:
         nonlocal links, now, n_now
         if found.limit(1).count():
@@ -271,9 +309,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
         near = near.filter(F.arrays_overlap(f"{p}a", f"{p}b"))
     near = written(near.select("a", "b"), "candidates")
     if near.limit(1).count():
-        sets = sets_of(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))))
-        contracted(written(_with_centre(near, sets.withColumnRenamed("id", "a"), sets, _linked(percent), "a long, b long"), "links"))
-        scratch.drop(sets)
+        contracted(written(_with_centre(near, None, dealt, _linked(percent), "a long, b long"), "links"))
     # Centres are done; what is left of the keys of one centre is one group if large.
     done = [keys, centres, members, pairs, near]
     members = members.filter("m > 2 AND id <> a").select("key", "id", F.col("a").alias("grp"))
@@ -285,12 +321,11 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
         lists = apart.join(large, "key", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
         groups = written(lists.withColumn("grp", F.monotonically_increasing_id()).select("grp", F.explode("ids").alias("id")), "groups")
         scratch.drop(*done)
-        if groups.limit(1).count():
-            lists, groups = groups, written(_with_partner(placed(groups, "id", "component"), fit, percent), "partners")
+        if m := groups.count():
+            lists, groups = groups, written(_with_partner(small_side(placed(groups, "id", "component"), m, 48), fit, percent), "partners")
             scratch.drop(lists)
-            sets = sets_of(groups.select("id"))
-            contracted(written(_among(placed(groups, "id", "component"), sets, percent), "links"))
-            scratch.drop(sets)
+            places = placed(groups, "id", "component").select(F.col("id").alias("node"), F.col("grp").alias("x"), F.col("id").alias("y"), F.col("component").alias("z"))
+            contracted(written(_among(dealt(places).toDF("grp", "id", "component", "hashes"), percent), "links"))
         rest = written(apart.join(large, "key", "left_semi").select("grp", "id").distinct(), "rest")
         scratch.drop(apart, large, groups)
         if not rest.limit(1).count():

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from test_operators import ROWS, WORDS, documents, near, prose
 
-from quaero.llm import divergence, ngram_join, vector_codes
+from quaero.llm import departures, divergence, ngram_join, vector_codes
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -101,6 +101,17 @@ def test_templates_that_do_not_link_make_no_pairs(spark, monkeypatch):
     assert counts[1] <= 2.6 * counts[0] + 100, counts
 
 
+def test_join_of_small_keys_makes_no_table_of_sets(spark, monkeypatch):
+    """Sets go from the texts to where they are compared, also those of repeated rows and of a centre with several groups of partners."""
+    monkeypatch.setattr(departures, "PAIR_GROUP", 2)
+    monkeypatch.setattr(ngram_join, "DEALT", 3000)
+    monkeypatch.setattr(ngram_join, "full_sets", lambda *a: pytest.fail("a table of sets"))
+    base = prose(300, 4)
+    rows = [(i, near(base, k, i)) for i, k in enumerate([0, 1, 2, 3, 4, 6, 1, 2])]
+    rows += [rows[0], rows[0], rows[3], *((20 + i, t) for i, t in enumerate(templates(12, 2, 4)))]
+    assert joined(spark, rows) == components(rows, 3, 90)
+
+
 def test_linked_members_have_a_departure_key_in_common(spark):
     """Groups around a base: whatever is linked is joined by certain links, or meets under a key."""
     r, percent, rows, sets = random.Random(2), 90, [], {}
