@@ -11,7 +11,7 @@ departure, so a round at least halves a key. Rows grow with the members.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -81,30 +81,33 @@ def _levels(hashes: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     return np.minimum(tables[0][a], tables[1][b])
 
 
-def _with_centre(pairs: DataFrame, heads: DataFrame | None, sets: DataFrame | Callable[[DataFrame], DataFrame], found, schema: str) -> DataFrame:
+def _stored(hashes: Iterable[bytes]) -> Iterator[np.ndarray]:
+    return (np.frombuffer(h, np.uint64) for h in hashes)
+
+
+def _with_centre(pairs: DataFrame, heads: DataFrame | None, sets: DataFrame | Callable[[DataFrame], DataFrame], found, schema: str, read=_stored) -> DataFrame:
     """pairs(a, b), heads(a, hashes), sets(id, hashes) -> the rows that found(a, set of a, b, set of b) gives. A head goes once to each group of its partners.
 
-    Without heads, sets is a function that sends the set of each node to its places(node, x, y, z)."""
+    Without heads, sets is a function that sends the set of each node to its places(node, x, y, z), in a form that read understands."""
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIR_GROUP).alias("groups"))
     spread = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("grp"))
     if heads is None:
         places = spread.select(F.col("b").alias("node"), F.col("a").alias("x"), F.col("grp").alias("y"), F.col("b").alias("z"))
         own = degree.select(F.col("a").alias("node"), F.col("a").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("y"), F.lit(-1).cast("long").alias("z"))
-        return _at_centre(sets(places.unionByName(own)).toDF("a", "grp", "b", "hashes"), found, schema)
+        return _at_centre(sets(places.unionByName(own)).toDF("a", "grp", "b", "hashes"), found, schema, read)
     first = degree.join(heads, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("grp"), F.lit(-1).cast("long").alias("b"), "hashes")
-    return _at_centre(spread.join(sets.withColumnRenamed("id", "b"), "b").select("a", "grp", "b", "hashes").unionByName(first), found, schema)
+    return _at_centre(spread.join(sets.withColumnRenamed("id", "b"), "b").select("a", "grp", "b", "hashes").unionByName(first), found, schema, read)
 
 
-def _at_centre(rows: DataFrame, found, schema: str) -> DataFrame:
-    """rows(a, grp, b, hashes): the partners of a in groups, each group with the set of a itself, where b is -1 -> the rows that found gives."""
+def _at_centre(rows: DataFrame, found, schema: str, read) -> DataFrame:
+    """rows(a, grp, b, hashes): the partners of a in groups, each group with the set of a itself, where b is -1; read: hashes -> sets -> the rows that found gives."""
     parts = rows.repartition(shuffle_partitions(rows.sparkSession), "a", "grp").sortWithinPartitions("a", "grp", "b")  # ids are not negative: heads come first
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head, mine = None, None
         for pdf in batches:
             out: list[tuple] = []
-            for a, b, hashes in zip(pdf["a"], pdf["b"], pdf["hashes"], strict=True):
-                h = np.frombuffer(hashes, np.uint64)
+            for a, b, h in zip(pdf["a"], pdf["b"], read(pdf["hashes"]), strict=True):
                 if b < 0:
                     head, mine = a, h
                 elif a != head:

@@ -23,8 +23,9 @@ filter again, on the small sets D. At most half of the members share a
 departure, so a round at least halves a key, and texts of one template that do
 not link soon are apart, however many they are.
 
-Nodes are the distinct sets, so copies make no pairs. Rounds make the sets of what
-they verify where they read the texts, and send them once, to the tasks that compare them. Everything grows
+Nodes are the distinct sets, so copies make no pairs. Rounds send the texts of what
+they verify, compressed, once to the tasks that compare them, and the sets are made there: a set
+takes several times the room of its compressed text. Everything grows
 with the rows, besides two byte tables of 2 ** SKETCH_LOG2 that are sent to the
 tasks. Shingles are compared as 64-bit hashes.
 
@@ -38,16 +39,18 @@ gives an empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .departures import SKETCH_LOG2, _departures, _levels, _with_centre, consensus, dealt_anew, one_of_same, sketch  # noqa: F401  the width is part of its interface
-from .near_dedup import LAST_ID, Shingler, _sign, _utf8
+from .near_dedup import LAST_ID, _sign, _utf8
 from .shared import Scratch, connected_components, shuffle_partitions, small_side
 
 ORDERS = 3
@@ -55,6 +58,79 @@ ORDERS = 3
 MEET, MEET_SHINGLES = 64, 1 << 20
 
 
+#: Bytes of text whose words are hashed at a time.
+HELD = 1 << 20
+
+
+# ---------------------------------------------------------------- sets
+
+
+def _rolled(w: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Hashes of words -> a hash of each run of size words."""
+    n = max(0, len(w) - size + 1)
+    h = np.full(n, seed, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            h = (h ^ w[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+
+
+def _values(strings: pa.Array) -> list[bytes]:
+    """The bytes of strings, none null. Many times as fast as to_pylist."""
+    _, ends, data = strings.buffers()
+    width = np.int64 if strings.type in (pa.large_string(), pa.large_binary()) else np.int32
+    at = np.frombuffer(ends, width)[strings.offset : strings.offset + len(strings) + 1].tolist() if len(strings) else [0]
+    held = data.to_pybytes() if data else b""
+    return [held[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def text_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The sets of a text column one after another, each a sorted array. The words of texts of HELD bytes are told apart at once, so each
+    spelling among them is hashed once."""
+    import xxhash
+
+    ends, at = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, "right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(column.slice(at, to - at).fill_null("")))  # A-Z, and [\x20\x09-\x0D]
+        words = pc.dictionary_encode(lists.flatten())
+        spellings, of = _values(words.dictionary), words.indices.to_numpy()
+        real = (pc.binary_length(words.dictionary).to_numpy() > 0)[of]  # space at the start or end of a text splits off an empty word
+        w = np.fromiter(map(xxhash.xxh3_64_intdigest, spellings), np.uint64, len(spellings))[of[real]]
+        h = _rolled(w, size, 0x2545F4914F6CDD1D)
+        first = np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy()].tolist()
+        for lo, hi in zip(first[:-1], first[1:], strict=True):
+            if hi - lo >= size:
+                yield _distinct(h[lo : hi - size + 1])
+            else:
+                yield _rolled(w[lo:hi], hi - lo, 0x9E6C63D0876A9A47) if hi > lo else w[:0]
+        at = to
+
+
+def packed_sets(size: int) -> Callable[[Iterable[bytes]], Iterator[np.ndarray]]:
+    """Reads the sets of compressed texts."""
+
+    def read(packed: Iterable[bytes]) -> Iterator[np.ndarray]:
+        z, held, n = zstandard.ZstdDecompressor(), [], 0
+        for x in packed:
+            held.append(z.decompress(x))
+            n += len(held[-1])
+            if n > HELD:
+                yield from text_sets(pa.array(held, pa.binary()).view(pa.string()), size)
+                held, n = [], 0
+        yield from text_sets(pa.array(held, pa.binary()).view(pa.string()), size)
+
+    return read
+
+
 # ---------------------------------------------------------------- orders
 
 
@@ -92,11 +168,9 @@ def signed_sets(docs: DataFrame, size: int, percent: int, tables: list[np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        sh = Shingler(size)
         for batch in batches:
             n, ids, found = [], [], []
-            for text in _utf8(batch.column("text")):
-                h = sh.shingles(text)
+            for h in text_sets(batch.column("text"), size):
                 n.append(len(h))
                 ids.append(xxhash.xxh3_128_digest(h.tobytes()))
                 found.append(prefixes(h, sent.value, percent) if len(h) >= smallest else [None] * ORDERS)
@@ -112,10 +186,8 @@ def signed_sets(docs: DataFrame, size: int, percent: int, tables: list[np.ndarra
 
 def _shingles_of(size: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        sh = Shingler(size)
         for batch in batches:
-            for text in _utf8(batch.column("text")):
-                yield sh.shingles(text)
+            yield from text_sets(batch.column("text"), size)
 
     return read
 
@@ -124,41 +196,40 @@ def full_sets(texts: DataFrame, size: int) -> DataFrame:
     """texts(id, text) -> id, hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = Shingler(size)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # sets are several times their texts
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([sh.shingles(x).tobytes() for x in _utf8(part.column("text"))], pa.binary())], ["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([h.tobytes() for h in text_sets(part.column("text"), size)], pa.binary())], ["id", "hashes"])
 
     return texts.select("id", "text").mapInArrow(run, "id long, hashes binary")
 
 
-#: Bytes of sets that are put out at a time.
+#: Bytes of compressed texts that are put out at a time.
 DEALT = 1 << 22
 
 
-def dealt_sets(texts: DataFrame, size: int) -> DataFrame:
-    """texts(text, places) -> x, y, z, hashes: the set of each text at each of its places (x, y, z)."""
+def dealt_texts(texts: DataFrame) -> DataFrame:
+    """texts(text, places) -> x, y, z, packed: each text, compressed, at each of its places (x, y, z)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh, held, n = Shingler(size), [], 0
+        z, held, n = zstandard.ZstdCompressor(level=1), [], 0
 
         def out() -> pa.RecordBatch:
             at = [pa.array([place[c] for place, _ in held], pa.int64()) for c in "xyz"]
-            return pa.RecordBatch.from_arrays([*at, pa.array([hashes for _, hashes in held], pa.binary())], ["x", "y", "z", "hashes"])
+            return pa.RecordBatch.from_arrays([*at, pa.array([packed for _, packed in held], pa.binary())], ["x", "y", "z", "packed"])
 
         for batch in batches:
             for text, places in zip(_utf8(batch.column("text")), batch.column("places"), strict=True):
-                hashes = sh.shingles(text).tobytes()
+                packed = z.compress(text)
                 for place in places.as_py():
-                    held.append((place, hashes))
-                    n += len(hashes)
+                    held.append((place, packed))
+                    n += len(packed)
                     if n > DEALT:
                         yield out()
                         held, n = [], 0
         yield out()
 
-    return texts.select("text", "places").mapInArrow(run, "x long, y long, z long, hashes binary")
+    return texts.select("text", "places").mapInArrow(run, "x long, y long, z long, packed binary")
 
 
 def _linked(percent: int):
@@ -169,8 +240,8 @@ def _linked(percent: int):
     return found
 
 
-def _among(members: DataFrame, percent: int) -> DataFrame:
-    """members(grp, id, component, hashes) -> (a, b): links that join all components of a group with a link between them."""
+def _among(members: DataFrame, percent: int, read: Callable[[Iterable[bytes]], Iterator[np.ndarray]]) -> DataFrame:
+    """members(grp, id, component, packed), read: packed -> sets -> (a, b): links that join all components of a group with a link between them."""
     rows = members.repartition(shuffle_partitions(members.sparkSession), "grp").sortWithinPartitions("grp", "id")
 
     def links(ids: list[int], roots: list[int], sets: list[np.ndarray]) -> list[tuple]:
@@ -191,16 +262,16 @@ def _among(members: DataFrame, percent: int) -> DataFrame:
         now, held = None, ([], [], [])
         for pdf in batches:
             out: list[tuple] = []
-            for grp, i, component, hashes in zip(pdf["grp"], pdf["id"], pdf["component"], pdf["hashes"], strict=True):
+            for grp, i, component, h in zip(pdf["grp"], pdf["id"], pdf["component"], read(pdf["packed"]), strict=True):
                 if grp != now:
                     out += links(*held)
                     now, held = grp, ([], [], [])
-                for column, value in zip(held, (i, component, np.frombuffer(hashes, np.uint64)), strict=True):
+                for column, value in zip(held, (i, component, h), strict=True):
                     column.append(value)
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
         yield pd.DataFrame(links(*held), columns=["a", "b"], dtype="int64")
 
-    return rows.select("grp", "id", "component", "hashes").mapInPandas(run, "a long, b long")
+    return rows.select("grp", "id", "component", "packed").mapInPandas(run, "a long, b long")
 
 
 def _with_partner(groups: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
@@ -261,7 +332,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
     # Size classes three times as wide as what linked sizes differ by: the own one, and for a third of the sets the one below.
     cls = lambda n: F.floor(F.log(n) / F.lit(-3 * math.log(percent / 100)) if percent < 100 else n)
     sizes = F.explode(F.sequence(cls(F.ceil(F.col("n") * percent / 100)), cls(F.col("n"))))
-    keys = written(fit.select("id", "n", F.explode("p0").alias("p")).select("id", "p", sizes.alias("cls")).select(F.xxhash64("p", "cls").alias("key"), "id"), "keys")
+    keys = fit.select("id", "n", F.explode("p0").alias("p")).select("id", "p", sizes.alias("cls")).select(F.xxhash64("p", "cls").alias("key"), "id")
     sent = spark.sparkContext.broadcast(tables)
     links = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     now, n_now = nodes.select("id", F.col("id").alias("component")).limit(0), 0
@@ -283,12 +354,12 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
     repeats = sig.filter("n_shingles > 0").groupBy("id", "sign").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").limit(1).count() > 0
 
     def dealt(places: DataFrame) -> DataFrame:
-        """places(node, x, y, z) -> x, y, z, hashes. Sets are made where the texts are read and sent from there: no table of them, no join."""
+        """places(node, x, y, z) -> x, y, z, packed. Texts go from where they are read to where their sets are compared: no table of sets, no join with one."""
         of = written(places.groupBy("node").agg(F.collect_list(F.struct("x", "y", "z")).alias("places")), "places")
         n = of.agg(F.coalesce(F.sum(64 + 24 * F.size("places")), F.lit(0))).first()[0]
         of = nodes.select(F.col("id").alias("node"), F.col("first.id").alias("id"), F.col("first.sign").alias("sign")).join(small_side(of, n, 1), "node")
         texts = rows.join(small_side(of, n, 1), ["id", "sign"]).select("node", "text", "places")
-        return dealt_sets(texts.dropDuplicates(["node"]) if repeats else texts, size)
+        return dealt_texts(texts.dropDuplicates(["node"]) if repeats else texts)
 
     def contracted(found: DataFrame) -> None:
         nonlocal links, now, n_now
@@ -298,8 +369,8 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
             n_now = now.count()
 
     side = lambda x: fit.select(F.col("id").alias(x), *[F.col(p).alias(f"{p}{x}") for p in others[1:]])
-    centres = written(keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "centres")
-    members = written(keys.join(centres, "key"), "members")
+    of_key = Window.partitionBy("key")  # keys are read and moved once, so no table of them
+    members = written(keys.select("key", "id", F.min("id").over(of_key).alias("a"), F.count(F.lit(1)).over(of_key).alias("m")).filter("m > 1"), "members")
     pairs = members.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     n_of = lambda x: small_side(nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}")), n_nodes, 24)
     pairs = pairs.join(n_of("a"), "a").join(n_of("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
@@ -309,9 +380,9 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
         near = near.filter(F.arrays_overlap(f"{p}a", f"{p}b"))
     near = written(near.select("a", "b"), "candidates")
     if near.limit(1).count():
-        contracted(written(_with_centre(near, None, dealt, _linked(percent), "a long, b long"), "links"))
+        contracted(written(_with_centre(near, None, dealt, _linked(percent), "a long, b long", packed_sets(size)), "links"))
     # Centres are done; what is left of the keys of one centre is one group if large.
-    done = [keys, centres, members, pairs, near]
+    done = [members, pairs, near]
     members = members.filter("m > 2 AND id <> a").select("key", "id", F.col("a").alias("grp"))
     while True:
         several = placed(members, "id", "component").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
@@ -325,7 +396,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataF
             lists, groups = groups, written(_with_partner(small_side(placed(groups, "id", "component"), m, 48), fit, percent), "partners")
             scratch.drop(lists)
             places = placed(groups, "id", "component").select(F.col("id").alias("node"), F.col("grp").alias("x"), F.col("id").alias("y"), F.col("component").alias("z"))
-            contracted(written(_among(dealt(places).toDF("grp", "id", "component", "hashes"), percent), "links"))
+            contracted(written(_among(dealt(places).toDF("grp", "id", "component", "packed"), percent, packed_sets(size)), "links"))
         rest = written(apart.join(large, "key", "left_semi").select("grp", "id").distinct(), "rest")
         scratch.drop(apart, large, groups)
         if not rest.limit(1).count():

@@ -9,10 +9,15 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
+import zstandard
+from pyspark.sql import functions as F
 from test_operators import ROWS, WORDS, documents, near, prose
 
 from quaero.llm import departures, divergence, ngram_join, vector_codes
+from quaero.llm.near_dedup import Shingler
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -112,6 +117,46 @@ def test_join_of_small_keys_makes_no_table_of_sets(spark, monkeypatch):
     assert joined(spark, rows) == components(rows, 3, 90)
 
 
+@pytest.mark.parametrize("held", [7, 100, 1 << 20])
+@pytest.mark.parametrize("size", [1, 3, 5])
+def test_sets_of_a_column_are_those_of_its_texts(monkeypatch, size, held):
+    """Whatever is hashed at once: the same sets as one text at a time, each spelling hashed once."""
+    monkeypatch.setattr(ngram_join, "HELD", held)
+    texts = [*(row[1] for row in ROWS), None, "", " \x0b\r\n ", "  a\x0b\x0cB \r\n c\x1c\u00c9 d ", "a b", "A  b", "a b a b a b a b", "x " * 5000, "\u00c4\u00e4 \u2003 K \u212a k"]
+    want = [Shingler(size).shingles(x if x is None else x.encode()) for x in texts]
+    for column in (pa.array(texts, pa.string()), pa.array(["z", *texts], pa.large_string()).slice(1)):
+        got = list(ngram_join.text_sets(column, size))
+        assert len(got) == len(want) and all(x.dtype == y.dtype and np.array_equal(x, y) for x, y in zip(got, want, strict=True))
+    assert [len(x) for x in want] == [len(shingles(x, size)) for x in texts]
+    packed = [zstandard.compress((x or "").encode()) for x in texts]
+    assert all(map(np.array_equal, ngram_join.packed_sets(size)(packed), want))
+    hashed, digest = [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda w: hashed.append(w) or digest(w))
+    monkeypatch.setattr(ngram_join, "HELD", 1 << 20)
+    list(ngram_join.text_sets(pa.array(["a b c", "A b d"] * 50), size))
+    assert sorted(hashed) == [b"a", b"b", b"c", b"d"]
+
+
+def test_join_sends_less_than_sets_and_no_table_of_keys(spark, monkeypatch):
+    """What goes to tasks that compare sets is smaller than those sets, and the keys of the prefixes are moved but not written."""
+    sent, labels = [], []
+    among, at_centre, written = ngram_join._among, departures._at_centre, ngram_join.Scratch.written
+
+    def seen(rows, name, node):
+        sent.append(rows.agg(F.sum(F.length(name)), F.count(F.when(F.col(node) >= 0, 1))).first())
+        return rows
+
+    monkeypatch.setattr(ngram_join, "_among", lambda rows, *a: among(seen(rows, rows.columns[-1], "id"), *a))
+    monkeypatch.setattr(departures, "_at_centre", lambda rows, *a: at_centre(seen(rows, rows.columns[-1], "grp"), *a))
+    monkeypatch.setattr(ngram_join.Scratch, "written", lambda self, df, label: labels.append(label) or written(self, df, label))
+    rows = [(i, near(prose(300, 4), k, i)) for i, k in enumerate([0, 1, 2, 3, 4, 6, 1, 2])] + [(20 + i, t) for i, t in enumerate(templates(12, 2, 4))]
+    assert joined(spark, rows) == components(rows, 3, 90)
+    n = sum(m for _, m in sent)
+    assert len(sent) >= 2 and n > 20
+    assert sum(b for b, _ in sent) < 0.6 * 8 * 290 * n, sent
+    assert "keys" not in labels[: labels.index("members")] and "centres" not in labels
+
+
 def test_linked_members_have_a_departure_key_in_common(spark):
     """Groups around a base: whatever is linked is joined by certain links, or meets under a key."""
     r, percent, rows, sets = random.Random(2), 90, [], {}
