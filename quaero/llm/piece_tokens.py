@@ -10,8 +10,9 @@ twice and the work grows with the length of the word.
 
 White space becomes the mark U+2581, and no piece has a mark after another
 character, so merging never crosses the start of a run of marks: a text is the
-sequence of its words. Words are cut further into letters and the rest; the
-pieces of a chunk are remembered in a bounded table, and two chunks whose
+sequence of its words. The ids of a word are remembered in a bounded table. New
+words are cut further into letters and the rest; the
+pieces of a chunk are remembered too, and two chunks whose
 touching pieces do not fit are joined and encoded as one. In a run of several
 marks only the last can belong to the word, because pieces of
 marks alone have the lowest score; what is left of the run is merged afresh.
@@ -23,10 +24,13 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +38,9 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 #: Letters and digits with the marks before them, other characters, or marks alone.
 CHUNKS = re.compile(f"{MARK}*\\w+|[^\\w{MARK}]+|{MARK}+")
-#: Entries of the table of fits, of some 150 bytes, and of each of two generations of chunks, of some 300.
+#: Marks with what follows them, or what no mark precedes.
+WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Entries of the table of fits, of some 150 bytes, of each of two generations of chunks, of some 300, and of words, of some 200.
 REMEMBERED = 500_000
 GENERATION = 250_000
 #: Rows whose results are held at once.
@@ -80,8 +86,12 @@ class PieceEncoder:
         self.automaton.make_automaton()
         self.shorter = {x: next((x[:n] for n in range(len(x) - 1, 0, -1) if x[:n] in reachable), None) for x in made}
         self.fits_memo: dict[tuple[str, str], bool] = {}
-        self.memo: dict[str, tuple[list[int], str, str]] = {}
-        self.older: dict[str, tuple[list[int], str, str]] = {}  # the generation before; what is used again moves on
+        self.piece_of = {i: p.piece for i, p in plain}
+        # Tables of tuples and strings alone: the collector of cycles soon leaves their entries out.
+        self.memo: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str, str]] = {}  # the generation before; what is used again moves on
+        self.words: dict[str, tuple[int, ...]] = {}  # of words after one mark, without it
+        self.older_words: dict[str, tuple[int, ...]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Merges the pair with the best score, leftmost first, until none is in the vocabulary."""
@@ -175,14 +185,21 @@ class PieceEncoder:
             piece = best[at] if at < n else None
         return out
 
-    def chunk(self, chunk: str) -> tuple[list[int], str, str]:
+    def chunk(self, chunk: str) -> tuple[tuple[int, ...], str, str]:
         """The ids of a chunk, its first and its last piece."""
         found = self.memo.get(chunk)
         if found is not None:
             return found
         found = self.older.get(chunk)
-        if found is not None:
-            return self.remember(chunk, found)
+        if found is None and chunk[0] == MARK and (ids := self.words.get(chunk[1:])):
+            ends = self.piece_of.get(ids[0]), self.piece_of.get(ids[-1])
+            if None not in ends:  # a byte does not tell its character
+                return ids, *ends
+        if found is None:
+            found = self.cut(chunk)
+        return self.remember(chunk, found) if len(chunk) <= LONGEST_REMEMBERED else found
+
+    def cut(self, chunk: str) -> tuple[tuple[int, ...], str, str]:
         bare = chunk.lstrip(MARK)
         marks = len(chunk) - len(bare)
         if marks <= 1 and bare:
@@ -193,18 +210,17 @@ class PieceEncoder:
             pieces = self.backtrack(MARK + bare)
             alone = pieces[0] == MARK
             pieces = self.merge(MARK * (marks - 1 + alone)) + pieces[alone:]
+        try:
+            return tuple([self.id_of[p] for p in pieces]), pieces[0], pieces[-1]
+        except KeyError:
+            if not self.byte_id:
+                raise ValueError("wants a model with byte fallback") from None
         ids: list[int] = []
         for p in pieces:
-            if (i := self.id_of.get(p)) is not None:
-                ids.append(i)
-            elif self.byte_id:
-                ids += [self.byte_id[b] for b in p.encode()]
-            else:
-                raise ValueError("wants a model with byte fallback")
-        found = (ids, pieces[0], pieces[-1])
-        return self.remember(chunk, found) if len(chunk) <= LONGEST_REMEMBERED else found
+            ids += [self.id_of[p]] if p in self.id_of else [self.byte_id[b] for b in p.encode()]
+        return tuple(ids), pieces[0], pieces[-1]
 
-    def remember(self, chunk: str, found: tuple[list[int], str, str]) -> tuple[list[int], str, str]:
+    def remember(self, chunk: str, found: tuple[tuple[int, ...], str, str]) -> tuple[tuple[int, ...], str, str]:
         if len(self.memo) >= GENERATION:
             self.older, self.memo = self.memo, {}
         self.memo[chunk] = found
@@ -212,23 +228,40 @@ class PieceEncoder:
 
     def encode(self, text: str) -> list[int]:
         """The ids of text, without an end id."""
-        out: list[int] = []
         if not text:
+            return []
+        if not self.dummy_prefix or MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+            out: list[int] = []
+            for w in WORDS.findall((MARK if self.dummy_prefix else "") + text.replace(" ", MARK)):
+                out += self.word(w[1:]) if w[0] == MARK and len(w) > 1 and w[1] != MARK else self.join(w)
             return out
-        memo, known = self.memo.get, self.fits_memo.get
-        held, ids, last = "", [], ""  # the chunk before, which may still be joined with the next
-        settled: list[tuple[str, list[int], str]] = []  # chunks before it, for joining further back
-        for c in CHUNKS.findall((MARK if self.dummy_prefix else "") + text.replace(" ", MARK)):
-            found = memo(c) or self.chunk(c)
-            if c[0] == MARK:  # nothing merges across the start of a run of marks
-                if settled:
-                    for _, before, _ in settled:
-                        out += before
-                    settled = []
-                out += ids
-                held = c
-                ids, _, last = found
-                continue
+        words = text.split(" ")  # each follows one mark
+        found = list(map(self.words.get, words))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self.word(words[i])
+        return list(chain.from_iterable(found))
+
+    def word(self, bare: str) -> tuple[int, ...]:
+        """The ids of a mark with bare, which has none, after it."""
+        ids = self.words.get(bare) or self.older_words.get(bare) or self.join(MARK + bare)
+        if len(bare) < LONGEST_REMEMBERED:
+            if len(self.words) >= GENERATION:
+                self.older_words, self.words = self.words, {}
+            self.words[bare] = ids
+        return ids
+
+    def join(self, word: str) -> tuple[int, ...]:
+        """The ids of a word, by its chunks: one that does not fit the chunk before is encoded with it."""
+        chunks = CHUNKS.findall(word)
+        if len(chunks) == 1:
+            return self.cut(word)[0]  # the word is remembered
+        settled: list[tuple[str, tuple[int, ...], str]] = []  # chunks before the last, for joining further back
+        known = self.fits_memo.get
+        held, ids, last = "", (), ""  # the last chunk, which may still be joined with the next
+        for c in chunks:
+            found = self.chunk(c)
             while held:
                 fit = known((last, found[1]))
                 if fit or fit is None and self.fits(last, found[1]):
@@ -236,13 +269,10 @@ class PieceEncoder:
                     break
                 c = held + c
                 found = self.chunk(c)
-                held, ids, last = settled.pop() if settled else ("", [], "")
+                held, ids, last = settled.pop() if settled else ("", (), "")
             held = c
             ids, _, last = found
-        for _, before, _ in settled:
-            out += before
-        out += ids
-        return out
+        return (*chain.from_iterable([x[1] for x in settled]), *ids)
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -257,6 +287,18 @@ def encoder(model_path: str) -> PieceEncoder:
     return _encoders[model_path]
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Encoding makes no cycles, and its tables hold so many objects that looking for some takes a quarter of the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def piece_tokens(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids (with the end id), decoded, and their digests."""
 
@@ -269,16 +311,17 @@ def piece_tokens(docs: DataFrame, model_path: str, with_ids: bool = True) -> Dat
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 n, id_digests, text_digests, all_ids, texts = [], [], [], [], []
-                for text in part.column("text"):
-                    ids = e.encode(text.as_py() or "")
-                    ids.append(e.end_id)
-                    decoded = e.decode(ids)
-                    n.append(len(ids))
-                    id_digests.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
-                    text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if with_ids:
-                        all_ids.append(ids)
-                        texts.append(decoded)
+                with no_collection():
+                    for text in part.column("text"):
+                        ids = e.encode(text.as_py() or "")
+                        ids.append(e.end_id)
+                        decoded = e.decode(ids)
+                        n.append(len(ids))
+                        id_digests.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
+                        text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
+                        if with_ids:
+                            all_ids.append(ids)
+                            texts.append(decoded)
                 columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
                 if with_ids:
                     columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]

@@ -93,7 +93,8 @@ def counts(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.size(F.array_distinct("_w")).cast("long").alias("n_distinct_words"),
         # From a word's first sign to its end is one match.
         F.regexp_count("_t", F.lit(f"{SYMBOLS}[^{WS}]*")).cast("long").alias("n_symbol_words"),
-        F.regexp_count("_t", F.lit(rf"\p{{L}}[{CLOSING}]*+(?=[{WS}]|\z)")).cast("long").alias("n_letter_ends"),
+        # Words less those whose last sign before what closes them is no letter, or that have only such: tried at few places of a text.
+        (F.size("_w") - F.regexp_count("_t", F.lit(rf"[^\p{{L}}{WS}](?<![^{WS}][{CLOSING}])[{CLOSING}]*+(?=[{WS}]|\z)"))).cast("long").alias("n_letter_ends"),
     )
 
 

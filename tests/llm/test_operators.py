@@ -295,6 +295,28 @@ def test_piece_tokens_equal_the_library(table):
         assert e.encode(x) == e.library.encode(x), repr(x)
 
 
+def test_piece_words_are_encoded_once():
+    e = piece_tokens.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    r, seen, join = random.Random(5), Counter(), e.join
+    e.join = lambda word: seen.update([word]) or join(word)
+    words = ["".join(r.choice("abeth.é漢(1") for _ in range(r.randint(1, 9))) for _ in range(300)]
+    for _ in range(50):
+        x = " ".join(r.choice(words) for _ in range(60))
+        assert e.encode(x) == e.library.encode(x), repr(x)
+        x = x.replace("a ", "a  ") + " "
+        assert e.encode(x) == e.library.encode(x), repr(x)
+    assert {w for w in seen if w.count("▁") == 1 and len(w) > 1} <= {"▁" + w for w in words} and max(n for w, n in seen.items() if w[1:] in words) == 1
+
+
+def test_letter_ends_are_counted_by_what_is_none(spark):
+    r = random.Random(3)
+    rows = [(i, "".join(r.choice("abé漢😀𝒜1)].,\"”' \n\t#\u0301") for _ in range(r.randint(0, 30)))) for i in range(2000)]
+    closing = quality_rules.CLOSING.replace("\\", "")
+    want = {i: sum((w.rstrip(closing) or "1")[-1].isalpha() for w in re.findall("[^\x20\x09-\x0d]+", t)) for i, t in rows}
+    got = quality_rules.counts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x["doc_id"]: x["n_letter_ends"] for x in got.select("doc_id", "n_letter_ends").collect()} == want
+
+
 def test_token_store(spark, table):
     from tokenizers import Tokenizer
 
