@@ -60,9 +60,8 @@ def quotation(text: Column, start: Column, end: Column) -> Column:
         F.least(s["far"], F.abs(s["at"] + F.length(x["gap"]) - (start - offset))).alias("far"),
         F.when(s["far"].isNull() | (F.abs(s["at"] + F.length(x["gap"]) - (start - offset)) < s["far"]), x["raw"]).otherwise(s["best"]).alias("best"),
     )
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda r, g: F.struct(r.alias("raw"), g.alias("gap")))
-    best = F.aggregate(pairs, state, step)["best"]
-    return T.squeeze(F.substring(best, F.lit(2), F.length(best) - 2))
+    pairs = T.once(found, lambda all_: F.zip_with(all_, F.slice(gaps, F.lit(1), F.size(all_)), lambda r, g: F.struct(r.alias("raw"), g.alias("gap"))))
+    return T.once(F.aggregate(pairs, state, step)["best"], lambda best: T.squeeze(F.substring(best, F.lit(2), F.length(best) - 2)))
 
 
 def claimed_title(text: str, start: int) -> str | None:

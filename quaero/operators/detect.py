@@ -55,7 +55,7 @@ def _anchors(text: Column) -> Column:
     def of(form: str, ord_: int) -> Column:
         pattern = PATTERNS[form]
         raws, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-        pairs = F.zip_with(raws, F.slice(gaps, F.lit(1), F.greatest(F.lit(0), F.size(raws))), lambda r, g: F.struct(r.alias("raw"), g.alias("gap")))
+        pairs = T.once(raws, lambda all_: F.zip_with(all_, F.slice(gaps, F.lit(1), F.greatest(F.lit(0), F.size(all_))), lambda r, g: F.struct(r.alias("raw"), g.alias("gap"))))
 
         def step(s: Column, x: Column) -> Column:
             raw, start = x["raw"], s["at"] + F.length(x["gap"])
@@ -95,8 +95,10 @@ def detected(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     A text without an anchor, empty or null gives no row; key and text are the only columns read.
     """
-    rows = docs.select(key, F.col(text).alias("text")).filter("text IS NOT NULL").withColumn("found", _anchors(F.col("text"))).filter("size(found) > 0")
-    each = rows.select(key, "text", F.posexplode(_merged(F.col("found"), F.col("text"))).alias("place", "m")).select(key, "text", "place", "m.*")
+    # Filters on arrays that are made here would make them once more; texts without an anchor leave as rows without a place.
+    rows = docs.select(key, F.col(text).alias("text")).filter("text IS NOT NULL")
+    merged = T.once(_anchors(F.col("text")), lambda found: _merged(found, F.col("text")))
+    each = rows.select(key, "text", F.posexplode_outer(merged).alias("place", "m")).filter("place IS NOT NULL").select(key, "text", "place", "m.*")
     part, offset = claims.block(F.col("text"), F.col("start"), F.col("end"))
     # The text around a citation and the citation's place in it; only these travel on.
     s, e, whole, lead = F.col("start"), F.col("end"), F.col("text"), claims.TITLE_REACH

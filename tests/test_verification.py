@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaero.functions import text as T
-from quaero.operators import claims, detect, evidence, verify
+from quaero.operators import claims, detect, evidence, extract, verify
+from quaero.plans import verification
 
 
 def found(spark, *texts):
@@ -161,3 +162,11 @@ def test_propositions_whose_cosine_is_above_all_containments(spark):
             if both and score > want.get(i, (0, 0))[1]:
                 want[i] = (pos, score)
     assert {r["claim"]: (r["prop_pos"], r["support"]) for r in got.collect()} == want
+
+
+def test_briefs_and_their_anchors_are_made_once(spark):
+    found = verification._detected(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Quux" not in plan  # briefs are read, not made within detection
+    per_form = plan.count("regexp_extract_all(")
+    assert per_form == len(extract.PATTERNS) + 1, per_form  # one a form, one for quotations
